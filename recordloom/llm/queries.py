@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts, token_output
+from . import mixing, packing, quality_rules, sharding, token_counts, token_output
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_sharding": sharding.op7_sharding,
+    "op8_mixing": mixing.op8_mixing,
     "op9_token_files": token_output.op9_token_files,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op10_quality_rules": quality_rules.OP10_SQL}
