@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, sharding, token_counts, token_output
+from . import mixing, packing, quality_rules, secret_scans, sharding, token_counts, token_output
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_secret_scans": secret_scans.op2_secret_scans,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_sharding": sharding.op7_sharding,
     "op8_mixing": mixing.op8_mixing,
