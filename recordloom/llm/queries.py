@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, secret_scans, sharding, token_counts, token_output
+from . import mixing, packing, quality_rules, secret_scans, sharding, simhash, token_counts, token_output
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_secret_scans": secret_scans.op2_secret_scans,
+    "op3_simhash": simhash.op3_simhash,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_sharding": sharding.op7_sharding,
     "op8_mixing": mixing.op8_mixing,
