@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, nearest, packing, quality_rules, secret_scans, sharding, simhash, token_counts, token_output
+from . import mixing, nearest, packing, quality_rules, secret_scans, sharding, simhash, suffix_dedup, token_counts, token_output
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_secret_scans": secret_scans.op2_secret_scans,
     "op3_simhash": simhash.op3_simhash,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_nearest": nearest.op5_nearest,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_sharding": sharding.op7_sharding,
