@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_watching: list[list[str]] = []
+
+
+@contextmanager
+def watched():
+    """Collects the work folders that are made inside."""
+    made: list[str] = []
+    _watching.append(made)
+    try:
+        yield made
+    finally:
+        _watching.remove(made)
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -30,7 +45,15 @@ def work_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/recordloom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/recordloom-{uuid.uuid4().hex}"
+    for made in _watching:
+        made.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame, **options) -> DataFrame:
@@ -45,8 +68,12 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes what materialize() wrote for these frames, once nothing reads it any more."""
     for df in frames:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, folder)
+
+
+def with_row(df: DataFrame) -> DataFrame:
+    """df, written, with ``__row``: a number for each row that stays the same when it is read again."""
+    return materialize(df.withColumn("__row", F.monotonically_increasing_id()))
 
 
 def small_batches(spark: SparkSession) -> None:

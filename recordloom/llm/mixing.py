@@ -117,5 +117,30 @@ def taken_words(keys: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return rows.join(taken, "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, block: int = BLOCK, seed: int = 42) -> DataFrame:
+    """The mix as rows of ``docs``, all columns: for each document and epoch, the part of its text that the mix takes.
+
+    A text taken whole stays as it is. Of others, each taken stretch keeps its own white space, and stretches are joined by line
+    ends. A document of which nothing is taken has no row; one that is repeated has up to ``most``.
+    """
+    d = common.with_row(docs)
+    keys = common.materialize(d.select(F.col("__row").alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), common.n_words(common.text_of(text_col)).alias("size")))
+    sources = common.materialize(with_targets(keys, weights, most, block))
+    slots, pieces = draw_slots(sources, seed), cut_blocks(keys, block, seed)
+    taken = pieces.join(slots, same_block(pieces, slots)).select("uid", "epoch", "first", "words")
+    # the pieces of one document
+    runs = taken.groupBy("uid", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("__runs"), F.sum("words").alias("__taken"))
+    d = d.join(runs.withColumnRenamed("uid", "__row"), "__row").withColumn("__words", F.regexp_extract_all(F.col(text_col), F.lit(rf"{common.WORD}[{common.SPACE}]*"), F.lit(0)))
+    whole = F.col("__taken") == F.size("__words")
+    none = F.array().cast("array<struct<first:bigint,end:bigint>>")
+    last = lambda a: F.element_at(a, -1)
+    more = lambda a, r: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["first"].alias("first"), (r["first"] + r["words"]).alias("end"))))
+    new = lambda a, r: F.concat(a, F.array(F.struct(r["first"].alias("first"), (r["first"] + r["words"]).alias("end"))))
+    merged = F.aggregate("__runs", none, lambda a, r: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] == r["first"]), more(a, r)).otherwise(new(a, r)))
+    d = d.withColumn("__stretches", F.when(whole, none).otherwise(merged))
+    part = F.array_join(F.transform("__stretches", lambda r: F.rtrim(F.array_join(F.slice("__words", r["first"].cast("int") + 1, (r["end"] - r["first"]).cast("int")), ""))), "\n")
+    return d.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(part)).select(*docs.columns)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(keys_of(common.read(spark, sf_dir, "documents")))

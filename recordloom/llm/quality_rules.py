@@ -93,7 +93,15 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", kee
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (left < LEAST_WORDS) | (left < LEAST_SHARE * F.col("n_words"))
-    return d.select(*[F.col(f"__keep_{c}").alias(c) for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("n_removed_words").cast("long").alias("n_removed_words"), (~failed & ~depleted).alias("kept"), "cleaned")
+    out = [*[F.col(f"__keep_{c}").alias(c) for c in keep], *[F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), F.col("n_removed_words").cast("long").alias("n_removed_words"), (~failed & ~depleted).alias("kept"), F.col("cleaned")]
+    # a generator, through which no later filter is moved: moved below, it would repeat each step for each window
+    return d.select(F.inline(F.array(F.struct(*out))))
+
+
+def passing_documents(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that judge() keeps, all columns, with their frequent lines removed."""
+    keep = tuple(c for c in docs.columns if c != text_col)
+    return judge(docs, host_col, text_col, keep).where("kept").withColumnRenamed("cleaned", text_col).select(*docs.columns)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,12 +44,13 @@ def found(text: Column, quick: str, pattern: str, good) -> Column:
     return F.when(text.rlike(quick), F.aggregate(pieces, zero, step)["out"]).otherwise(none)
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_cols: tuple[str, ...]) -> DataFrame:
+def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_cols: tuple[str, ...], row_col: str | None = None) -> DataFrame:
     """``uid, doc_id, owner, repo``, the base kinds' matches, and the live-looking tokens, without texts."""
     text = common.text_of(text_col)
     owner = F.coalesce(F.concat(F.lit("="), F.col(owner_col).cast("string")), F.lit(""))
     repo = F.xxhash64(owner, *[F.col(c) for c in repo_cols])
-    d = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), owner.alias("owner"), repo.alias("repo"), text.alias("t"))
+    uid = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    d = docs.select(uid.alias("uid"), F.col(id_col).alias("doc_id"), owner.alias("owner"), repo.alias("repo"), text.alias("t"))
     d = d.withColumn("t", F.when(F.col("t").contains(MARK), F.translate("t", MARK, ELSE)).otherwise(F.col("t")))
     t = F.col("t")
     value = lambda x: F.regexp_extract(x, ASSIGN, 2)
@@ -93,13 +94,13 @@ def ownership(cands: DataFrame) -> DataFrame:
     return by_owner.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("lang",), example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """For each row ``doc_id``, the base counts and digest, ``spans``, and how many of its spans' values are live or examples.
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("lang",), example_owners: int = EXAMPLE_OWNERS, row_col: str | None = None) -> DataFrame:
+    """For each row ``uid`` (row_col), ``doc_id``, the base counts and digest, ``spans``, and how many of its spans' values are live or examples.
 
     A null text is empty and has no spans. Rows with a null owner have one owner, so have rows with a null repository.
     Repeated rows are rows of their own, of one owner. Other columns aren't read. An empty table gives an empty result.
     """
-    rows = common.materialize(scan(docs, id_col, text_col, owner_col, repo_cols))
+    rows = common.materialize(scan(docs, id_col, text_col, owner_col, repo_cols, row_col))
     cands = candidates(rows)
     judged = cands.join(ownership(cands), "h")
     live = F.col("owners") < example_owners
@@ -122,11 +123,20 @@ def redact(text: Column, spans: Column, by: str = "<SECRET>") -> Column:
 
     def step(a: Column, p: Column) -> Column:
         fresh = F.concat(a["out"], F.substring(text, a["at"] + 1, p["s"] - a["at"]), F.lit(by))
-        return F.struct(F.greatest(a["at"], p["e"]).alias("at"), F.when((p["s"] >= a["at"]) | (a["at"] == 0), fresh).otherwise(a["out"]).alias("out"))
+        return F.struct(F.greatest(a["at"], p["e"]).alias("at"), F.when(p["s"] >= a["at"], fresh).otherwise(a["out"]).alias("out"))
 
     end = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
     return F.when(spans == "", text).otherwise(F.aggregate(pairs, zero, step, end))
 
 
+def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("lang",)) -> DataFrame:
+    """The rows of ``docs``, all columns, with every span of find_secrets() replaced in the text."""
+    d = common.with_row(docs)
+    spans = find_secrets(d, id_col, text_col, owner_col, repo_cols, row_col="__row").where("spans <> ''")
+    spans = common.materialize(spans.select(F.col("uid").alias("__row"), F.col("spans").alias("__spans")))
+    d = d.join(spans, "__row", "left")
+    return d.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("__spans")))).select(*docs.columns)
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(common.read(spark, sf_dir, "documents")).drop("uid")

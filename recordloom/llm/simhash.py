@@ -27,8 +27,8 @@ BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 SHARD = 1 << 15
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long. A text without words has zero; a null text has no words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``doc_id, fp, row``: the fingerprint as a signed long. A text without words has zero; a null text has no words."""
     common.small_batches(docs.sparkSession)
 
     def encode(batches):
@@ -51,9 +51,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for at in range(0, len(h), 65536):
                     ones += np.unpackbits(h[at : at + 65536].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
                 fps.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), b.column(2)], ["doc_id", "fp", "row"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), common.text_of(text_col).alias("text")).mapInArrow(encode, "doc_id long, fp long")
+    row = F.col(row_col) if row_col else F.lit(None)
+    d = docs.select(F.col(id_col).alias("doc_id"), common.text_of(text_col).alias("text"), row.cast("long").alias("row"))
+    return d.mapInArrow(encode, "doc_id long, fp long, row long")
 
 
 def blocks_for(n: int) -> int:
@@ -157,20 +159,30 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFra
     return rows.mapInArrow(find, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` for each row: the smallest id that links reach, its own included.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``doc_id, fp, row, component_id, group`` for each row: the smallest id that links reach, its own included.
 
-    Texts without words (null, empty, white space) have fingerprint zero and link like any other. Repeated rows are in
-    one component; null ids count for no component's smallest id. Other columns aren't read. An empty table gives an empty result.
+    ``group`` is one fingerprint of the component, and ``row`` what row_col holds. Texts without words (null, empty, white
+    space) have fingerprint zero and link like any other. Repeated rows are in one component; null ids count for no
+    component's smallest id. Other columns aren't read. An empty table gives an empty result.
     """
-    rows = common.materialize(fingerprints(docs, id_col, text_col))
+    rows = common.materialize(fingerprints(docs, id_col, text_col, row_col))
     nodes = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes))
     known = roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "least")
     smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    grouped = known.join(smallest, "root").select("fp", "component_id")
-    of_fp = nodes.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    grouped = known.select("fp", "root").join(smallest, "root")
+    of_fp = nodes.join(grouped, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("group"))
+    return rows.join(of_fp, "fp").select("doc_id", "fp", "row", "component_id", "group")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without near-duplicates: the smallest id of each group stays (a null id only if there is no other)."""
+    d = common.with_row(docs)
+    rows = near_duplicates(d, id_col, text_col, "__row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    keep = rows.groupBy("group").agg(first.alias("first")).select(F.col("first.row").alias("__row"))
+    return d.join(keep, "__row", "left_semi").select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
