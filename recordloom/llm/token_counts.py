@@ -8,6 +8,7 @@ library encode whatever tier one lacks.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import pyarrow as pa
@@ -56,12 +57,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
     # at most TABLE strings of 64 characters: some hundred KB, whatever the input
     compact = spark.sparkContext.broadcast(("\0".join(words), bytes(min(n, 255) for n in lengths)))
 
+    tier = uuid.uuid4().hex
+
     def count(batches):
         import numpy as np
 
         joined, sizes = compact.value
-        first = {w: n for w, n in zip(joined.split("\0"), sizes, strict=False) if n < 255}
-        encoder = tokens.count_encoder(tokenizer_path, first)
+        first = lambda: {w: n for w, n in zip(joined.split("\0"), sizes, strict=False) if n < 255}
+        encoder = tokens.count_encoder(tokenizer_path, tier, first)
         for b in batches:
             n = pa.array(np.array(encoder.batch(b.column(2).to_pylist()), "i8"))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], ["doc_id", "n_bytes", "n_tokens"])

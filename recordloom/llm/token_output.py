@@ -23,7 +23,7 @@ from . import common, tokens
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2000
 #: How each column is encoded: v2 pages give delta encoding to number columns without a dictionary.
 FORMAT = {
-    "compression": "zstd",
+    "compression": "snappy",
     "parquet.writer.version": "v2",
     "parquet.block.size": str(ROW_GROUP),
     "parquet.page.size": str(PAGE),

@@ -11,17 +11,18 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable
-from itertools import islice
 
 #: Latin letters and numbers up to U+00FF, as Unicode classes them, and ASCII white space.
 LETTER, NUMBER, BLANK = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r "
 #: Characters of which every Unicode version says the same: they are in composed form and of known class.
 PLAIN = re.compile("[\t-\r -~¡-ÿ‐-‧€]*")
 #: Pre-tokens of each tokenizer (fixed values of the two files): pattern, whether texts are lowered first, what marks a special token.
+#: Alternatives that can't start alike are in order of frequency.
 KINDS = {
-    "byte": (re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{BLANK}{LETTER}{NUMBER}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"), False, "<|endoftext|>"),
-    "word": (re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{BLANK}{LETTER}{NUMBER}]+"), True, "<|"),
+    "byte": (re.compile(rf" ?[{LETTER}]+| ?[{NUMBER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{BLANK}{LETTER}{NUMBER}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"), False, "<|endoftext|>"),
+    "word": (re.compile(rf"[{LETTER}]+|[{NUMBER}]|'s|'t|'re|'ve|'m|'ll|'d|[^{BLANK}{LETTER}{NUMBER}]+"), True, "<|"),
 }
 
 _loaded: dict[str, object] = {}
@@ -66,48 +67,69 @@ def pre_tokens(text: str, kind: str | None) -> list[str] | None:
     return pattern.findall(text.lower() if lower else text)
 
 
+def _byte_chars() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow each other from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
 class Encoder:
     """Maps texts to what ``pack`` makes of their ids; ``join`` puts together what pre-tokens gave.
 
-    The cache holds at most ``limit`` pre-tokens of at most 64 characters and starts anew when full; ``first`` is a tier that is never dropped.
+    The cache of pre-tokens has two generations of at most ``limit`` entries each; ``first`` is a tier that is never
+    dropped. What is in neither has the library's model encode it.
     """
 
-    def __init__(self, path: str, pack: Callable, join: Callable, first: dict | None = None, limit: int = 300_000):
+    def __init__(self, path: str, pack: Callable, join: Callable, first: dict | None = None, limit: int = 400_000):
         self.path, self.kind, self.pack, self.join = path, kind_of(path), pack, join
-        self.first, self.limit = first or {}, limit
-        self.cache = dict(self.first)
+        self.model, self.first, self.limit = tokenizer(path).model, first or {}, limit
+        self.cache, self.old = dict(self.first), {}
 
-    def _library(self, texts: list[str]) -> list:
-        pack = self.pack
-        return [pack(e.ids) for e in tokenizer(self.path).encode_batch(texts, add_special_tokens=False)]
+    def _missing(self, w: str):
+        r = self.old.get(w)
+        if r is None:
+            r = self.pack([t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(BYTE_CHARS))])
+        if len(w) <= 64:
+            self.cache[w] = r
+        return r
 
     def batch(self, texts: Iterable[str]) -> list:
         """One result for each text, in order."""
-        cut = [pre_tokens(t, self.kind) for t in texts]
-        if len(self.cache) > self.limit:
-            self.cache = dict(self.first)
-        cache, new = self.cache, set()
-        for c in cut:
-            if c:
-                new.update(c)
-        misses = iter([w for w in new if w not in cache])
-        rest: dict = {}
-        while some := list(islice(misses, 4096)):
-            for w, r in zip(some, self._library(some), strict=True):
-                (cache if len(w) <= 64 else rest)[w] = r
-        get = cache.__getitem__
-        if rest:
-            get = lambda w: rest[w] if w in rest else cache[w]
-        return [self._library([t])[0] if c is None else self.join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        out, get = [], self.cache.get
+        for t in texts:
+            cut = pre_tokens(t, self.kind)
+            if cut is None:
+                out.append(self.pack(tokenizer(self.path).encode(t, add_special_tokens=False).ids))
+                continue
+            got, at = list(map(get, cut)), 0
+            for _ in range(got.count(None)):
+                at = got.index(None, at)
+                got[at] = get(cut[at]) or self._missing(cut[at])
+            out.append(self.join(got))
+            if len(self.cache) > self.limit:
+                self.old, self.cache = self.cache, dict(self.first)
+                get = self.cache.get
+        return out
+
+
+_encoders: dict[tuple, Encoder] = {}
 
 
 def ids_encoder(path: str) -> Encoder:
-    """Gives each text's ids as little-endian unsigned 32-bit bytes."""
-    import numpy as np
-
-    return Encoder(path, lambda ids: np.asarray(ids, dtype="<u4").tobytes(), b"".join)
-
-
-def count_encoder(path: str, first: dict[str, int]) -> Encoder:
-    """Gives each text's number of ids."""
-    return Encoder(path, len, sum, first)
+    """Gives each text's ids as little-endian unsigned 32-bit bytes; one for a worker process, which keeps its cache between tasks."""
+    if ("ids", path) not in _encoders:
+        _encoders["ids", path] = Encoder(path, lambda ids: array("I", ids).tobytes(), b"".join)
+    return _encoders["ids", path]
+
+
+def count_encoder(path: str, tier: str, first: Callable[[], dict[str, int]]) -> Encoder:
+    """Gives each text's number of ids; ``tier`` names the first tier, which ``first`` makes."""
+    if ("count", path, tier) not in _encoders:
+        for k in [k for k in _encoders if k[:2] == ("count", path)]:
+            del _encoders[k]
+        _encoders["count", path, tier] = Encoder(path, len, sum, first())
+    return _encoders["count", path, tier]
