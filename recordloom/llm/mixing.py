@@ -111,7 +111,8 @@ def taken_words(keys: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     sources = common.materialize(with_targets(keys, weights, most, block))
     copies = draw_slots(sources, seed).groupBy("source", "block").agg(F.count(F.lit(1)).alias("copies"))
     pieces = cut_blocks(keys, block, seed)
-    taken = pieces.join(copies, same_block(pieces, copies), "left").groupBy(pieces["uid"]).agg(F.sum(F.coalesce(F.col("words") * F.col("copies"), F.lit(0))).alias("taken"))
+    # slots come of a few rows by explode, which Spark takes for a small table: without the hint it would broadcast them all
+    taken = pieces.join(copies.hint("merge"), same_block(pieces, copies), "left").groupBy(pieces["uid"]).agg(F.sum(F.coalesce(F.col("words") * F.col("copies"), F.lit(0))).alias("taken"))
     with_size = keys.join(sources, keys["source"].eqNullSafe(sources["source"]))
     rows = with_size.select("uid", "doc_id", "size", "source_size", "target")
     return rows.join(taken, "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -127,7 +128,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     keys = common.materialize(d.select(F.col("__row").alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), common.n_words(common.text_of(text_col)).alias("size")))
     sources = common.materialize(with_targets(keys, weights, most, block))
     slots, pieces = draw_slots(sources, seed), cut_blocks(keys, block, seed)
-    taken = pieces.join(slots, same_block(pieces, slots)).select("uid", "epoch", "first", "words")
+    taken = pieces.join(slots.hint("merge"), same_block(pieces, slots)).select("uid", "epoch", "first", "words")
     # the pieces of one document
     runs = taken.groupBy("uid", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("__runs"), F.sum("words").alias("__taken"))
     d = d.join(runs.withColumnRenamed("uid", "__row"), "__row").withColumn("__words", F.regexp_extract_all(F.col(text_col), F.lit(rf"{common.WORD}[{common.SPACE}]*"), F.lit(0)))
