@@ -1,12 +1,14 @@
-"""Session set-up: the package's own code for Python workers."""
+"""Session set-up: the package's own code for Python workers, and written tables in the shared work folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +25,57 @@ def ship_package(spark: SparkSession) -> None:
             z.write(f, Path(root.name) / f.relative_to(root))
     sc.addPyFile(str(path))
     _shipped.add(sc.applicationId)
+
+
+def ship_to_active() -> None:
+    """The same for the active session; column functions that run Python call it."""
+    if spark := SparkSession.getActiveSession():
+        ship_package(spark)
+
+
+_watching: list[list[str]] = []
+
+
+@contextmanager
+def watched():
+    """Collects the work folders that are made inside."""
+    made: list[str] = []
+    _watching.append(made)
+    try:
+        yield made
+    finally:
+        _watching.remove(made)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only where the session names none (a single machine, tests) a folder under /tmp is taken.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file:///tmp/checkpoints"
+    path = f"{base.rstrip('/')}/recordloom-{uuid.uuid4().hex}"
+    for made in _watching:
+        made.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def materialize(df: DataFrame, **options) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: what follows doesn't depend on executors' disks."""
+    spark = df.sparkSession
+    path = work_dir(spark)
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Deletes what materialize() wrote for these frames, once nothing reads it any more."""
+    for df in frames:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            delete(spark, folder)
