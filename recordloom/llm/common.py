@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-from contextlib import contextmanager
+import gc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.session import ship_package
+from recordloom.session import delete, discard, materialize, ship_package, watched, work_dir  # noqa: F401
 
 #: Rows and bytes of one Arrow batch, so that a batch of very long texts stays small.
 ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
@@ -23,52 +22,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-_watching: list[list[str]] = []
-
-
-@contextmanager
-def watched():
-    """Collects the work folders that are made inside."""
-    made: list[str] = []
-    _watching.append(made)
-    try:
-        yield made
-    finally:
-        _watching.remove(made)
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session names none (a single machine, tests) a folder under /tmp is taken.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/recordloom-{uuid.uuid4().hex}"
-    for made in _watching:
-        made.append(path)
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def materialize(df: DataFrame, **options) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: what follows doesn't depend on executors' disks."""
-    spark = df.sparkSession
-    path = work_dir(spark)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes what materialize() wrote for these frames, once nothing reads it any more."""
-    for df in frames:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            delete(spark, folder)
+def release_shuffles(spark: SparkSession) -> None:
+    """Has Spark's cleaner drop the shuffle files of finished jobs now, and not when the driver's memory happens to fill."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def with_row(df: DataFrame) -> DataFrame:
