@@ -6,10 +6,13 @@ Only equality over ``length`` bytes matters, so suffixes are compared to that de
    takes both to picked ones. So two equal strings of ``length`` bytes have picked positions, at one shift, that begin equal
    strings of ``length`` - V + 1 bytes. Picked positions are dealt to buckets by these strings' hashes, and a task sorts one
    bucket at a time; classes of two or more are the cover's ranks that matter.
-2. Only a suffix that begins up to V - 1 bytes before such a class's member can tie over the whole length. These few
-   suffixes, and no others, are dealt to buckets by a 128-bit hash of all ``length`` bytes, and sorted one bucket at a time.
-   Ties there are the repeated strings.
-3. Each text with repeats gets the union of its repeated strings. Copies of one text count as one text in 1 and 2,
+2. Only a suffix that begins up to V - 1 bytes before such a class's member can tie over the whole length. These suffixes
+   are looked at in blocks of up to STEP neighbours, from the picked position backwards. The bytes that all strings of a block have in common must recur
+   for any of them to recur; if the bytes that any of them has recur, all do. So blocks are sorted by their common bytes, and
+   those that tie by all their bytes: two or more of these are settled, and one of each kind goes on where a tie has several.
+3. What goes on, some edges of repeats, is dealt to buckets by a 128-bit hash of all ``length`` bytes, suffix for suffix, and sorted
+   one bucket at a time. Ties there are repeated strings.
+4. Each text with repeats gets the union of its repeated strings. Copies of one text count as one text in 1 to 3,
    and lose all their bytes.
 
 Buckets travel as packed arrays, a row for each bucket and flush. Before that, a map task settles what it can: of equal
@@ -31,24 +34,26 @@ LENGTH = 400
 V = 273
 COVER = (1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256)
 #: Positions that a map task holds before it sends them, and bytes of text for each bucket.
-FLUSH, BUCKET_BYTES, LEAST_BUCKETS = 1 << 21, 8 << 20, 64
+FLUSH, BUCKET_BYTES, LEAST_BUCKETS = 1 << 19, 4 << 20, 64
 #: Bytes hashed at a time, so that one very long text needs no more memory than this.
 STRIDE = 1 << 17
-PACKED = "bucket int, settled boolean, h binary, g binary, doc binary, pos binary, known binary"
+PACKED = "bucket int, settled boolean, h binary, g binary, f binary, doc binary, pos binary, known binary"
+#: Suffixes of a block.
+STEP = 32
+#: Up to so many keys (16 MB) tell by a broadcast which texts have members of classes; beyond, by a join.
+BROADCAST_KEYS = 1 << 21
 
 
-class Windows:
-    """Hashes of all windows of ``size`` bytes of a text, as 64-bit polynomial sums; ``seed`` gives an independent one."""
+class Hasher:
+    """Hashes of strings at given places of a text, as 64-bit polynomial sums; ``seed`` gives an independent one."""
 
-    def __init__(self, size: int, seed: int):
+    def __init__(self, seed: int, reach: int):
         import numpy as np
 
-        self.size = size
         rng = np.random.default_rng(seed)
-        self.table = rng.integers(0, 2**64, 256, dtype="u8")
+        self.table, self.reach = rng.integers(0, 2**64, 256, dtype="u8"), reach
         m = int(rng.integers(0, 2**62)) * 8 + 5
-        n = STRIDE + size
-        self.up, self.down = self._powers(m, n), self._powers(pow(m, -1, 2**64), n)
+        self.up, self.down = self._powers(m, STRIDE + reach), self._powers(pow(m, -1, 2**64), STRIDE + reach)
 
     @staticmethod
     def _powers(m: int, n: int):
@@ -58,28 +63,32 @@ class Windows:
         p[0] = 1
         return np.cumprod(p, dtype="u8")
 
-    def parts(self, data: bytes):
-        """Pairs (first position, hashes of the windows that begin there and after) of at most STRIDE windows."""
+    def at(self, b, starts, size: int):
+        """The hash of the ``size`` bytes at each of the ascending ``starts`` of the byte array b; ``size`` is at most ``reach``."""
         import numpy as np
 
-        b = np.frombuffer(data, "u1")
-        for at in range(0, max(0, len(b) - self.size + 1), STRIDE):
-            x = self.table[b[at : at + STRIDE + self.size - 1]]
-            s = np.concatenate((np.zeros(1, "u8"), np.cumsum(x * self.up[: len(x)], dtype="u8")))
-            yield at, (s[self.size :] - s[: -self.size]) * self.down[: len(s) - self.size]
+        out = np.zeros(len(starts), "u8")
+        edges = np.searchsorted(starts, np.arange(0, len(b) + STRIDE, STRIDE))
+        for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if i < j:
+                x = self.table[b[k * STRIDE : (k + 1) * STRIDE + size]]
+                sums = np.concatenate((np.zeros(1, "u8"), np.cumsum(x * self.up[: len(x)], dtype="u8")))
+                p = starts[i:j] - k * STRIDE
+                out[i:j] = (sums[p + size] - sums[p]) * self.down[p]
+        return out
 
 
 class Sender:
-    """Gathers (hash, second hash, document, position), settles repeats among them, and packs the rest by bucket."""
+    """Gathers (hash, second hash, kind, document, position), settles repeats among them, and packs the rest by bucket."""
 
     def __init__(self, buckets: int, task: int):
         self.buckets, self.task, self.rows, self.n = buckets, task, [], 0
 
-    def add(self, h, g, doc: int, pos) -> None:
+    def add(self, h, g, f, doc: int, pos) -> None:
         import numpy as np
 
         if len(h):
-            self.rows.append((h, g, np.full(len(h), doc, "i8"), pos.astype("i4")))
+            self.rows.append((h, g, f, np.full(len(h), doc, "i8"), pos.astype("i8")))
             self.n += len(h)
 
     def flush(self) -> list[tuple]:
@@ -87,49 +96,54 @@ class Sender:
 
         if not self.n:
             return []
-        h, g, doc, pos = (np.concatenate(c) for c in zip(*self.rows, strict=True))
+        h, g, f, doc, pos = (np.concatenate(c) for c in zip(*self.rows, strict=True))
         self.rows, self.n = [], 0
-        first, many, every = classes(h, g, doc, pos)
+        first, many, every = classes(h, g, f, doc, pos)
         out = []
         if len(every):
             self.task += 1
-            out.append((self.task % self.buckets, True, b"", b"", doc[every].tobytes(), pos[every].tobytes(), b""))
-        h, g, doc, pos = h[first], g[first], doc[first], pos[first]
+            out.append((self.task % self.buckets, True, b"", b"", b"", doc[every].tobytes(), pos[every].tobytes(), b""))
+        h, g, f, doc, pos = h[first], g[first], f[first], doc[first], pos[first]
         bucket = ((h >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype("i4")
         order = np.argsort(bucket, kind="stable")
-        h, g, doc, pos, many, bucket = h[order], g[order], doc[order], pos[order], many[order], bucket[order]
+        columns, bucket = [c[order] for c in (h, g, f, doc, pos, many)], bucket[order]
         which, start = np.unique(bucket, return_index=True)
         for k, s, e in zip(which.tolist(), start, [*start[1:], len(bucket)], strict=True):
-            out.append((k, False, h[s:e].tobytes(), g[s:e].tobytes(), doc[s:e].tobytes(), pos[s:e].tobytes(), many[s:e].tobytes()))
+            out.append((k, False, *[c[s:e].tobytes() for c in columns]))
         return out
 
 
-def classes(h, g, doc, pos):
-    """Of equal (h, g): the index of one member each, whether others differ from it in (doc, pos), and all members of those that do."""
+def classes(h, g, f, doc, pos):
+    """Of equal (h, g, f): the index of one member each, whether others differ from it in (doc, pos), and all members of those that do."""
     import numpy as np
 
     order = np.argsort(h, kind="stable")
     s = h[order]
     near = np.zeros(len(s) + 1, bool)
     near[1:-1] = s[1:] == s[:-1]
-    tied = order[near[1:] | near[:-1]]  # the few rows whose h isn't alone
+    tied = order[near[1:] | near[:-1]]  # the rows whose h isn't alone
     alone = np.ones(len(h), bool)
     alone[tied] = False
-    tied = tied[np.lexsort((pos[tied], doc[tied], g[tied], h[tied]))]
-    same = (h[tied][1:] == h[tied][:-1]) & (g[tied][1:] == g[tied][:-1])
-    new_class = np.concatenate((np.ones(min(1, len(tied)), bool), ~same))
-    again = np.concatenate((np.zeros(min(1, len(tied)), bool), same & (doc[tied][1:] == doc[tied][:-1]) & (pos[tied][1:] == pos[tied][:-1])))
+    tied = tied[np.lexsort((pos[tied], doc[tied], f[tied], g[tied], h[tied]))]
+    equal = lambda c: c[tied][1:] == c[tied][:-1]
+    same = equal(h) & equal(g) & equal(f)
+    some = min(1, len(tied))
+    new_class = np.concatenate((np.ones(some, bool), ~same))
+    again = np.concatenate((np.zeros(some, bool), same & equal(doc) & equal(pos)))
     k = np.cumsum(new_class) - 1
-    size = np.bincount(k[~again], minlength=k[-1] + 1 if len(k) else 0)
+    size = np.bincount(k[~again], minlength=int(k[-1]) + 1 if some else 0)
     heads = tied[new_class]
     first = np.concatenate((np.nonzero(alone)[0], heads))
     many = np.concatenate((np.zeros(int(alone.sum()), bool), size > 1))
     order = np.argsort(first, kind="stable")
-    return first[order], many[order], tied[~again & (size[k] > 1 if len(k) else np.zeros(0, bool))]
+    return first[order], many[order], tied[~again & (size[k] > 1)] if some else tied
 
 
 def repeated(rows: DataFrame, produce, buckets: int) -> DataFrame:
-    """``doc, pos`` (some twice) of equal strings at different places; produce() turns a batch into calls of Sender.add()."""
+    """``doc, pos, check`` (some twice): members of ties in (h, g, f) at different places, and, with ``check``, one of each f of a tie in (h, g) with several.
+
+    produce() turns a batch into calls of Sender.add().
+    """
 
     def send(batches):
         from pyspark import TaskContext
@@ -137,7 +151,7 @@ def repeated(rows: DataFrame, produce, buckets: int) -> DataFrame:
         sender, work = Sender(buckets, TaskContext.get().partitionId()), produce()
 
         def packed(out):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), *[pa.binary()] * 5), strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), *[pa.binary()] * 6), strict=True)], names)
 
         for b in batches:
             for _ in work(b, sender):
@@ -152,28 +166,36 @@ def repeated(rows: DataFrame, produce, buckets: int) -> DataFrame:
     def settle(batches):
         import numpy as np
 
+        def found(doc, pos, check):
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos), pa.array(np.full(len(doc), check))], ["doc", "pos", "check"])
+
         def one(held):
-            h, g, doc, pos, known = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*held, strict=True), ("u8", "u8", "i8", "i4", "?"), strict=True))
-            # one more class member for each that is known to have an equal elsewhere in its task
-            first, many, every = classes(h, g, doc, pos)
-            every = every[~known[every]]
-            return pa.RecordBatch.from_arrays([pa.array(doc[every]), pa.array(pos[every])], ["doc", "pos"])
+            h, g, f, doc, pos, known = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*held, strict=True), ("u8", "u8", "u8", "i8", "i8", "?"), strict=True))
+            first, _, every = classes(h, g, f, doc, pos)
+            # a task has settled what it knows to have an equal
+            yield found(doc[every[~known[every]]], pos[every[~known[every]]], False)
+            first = first[np.lexsort((f[first], g[first], h[first]))]
+            same = (h[first][1:] == h[first][:-1]) & (g[first][1:] == g[first][:-1])
+            several = np.zeros(len(first), bool)
+            several[1:] |= same
+            several[:-1] |= same
+            yield found(doc[first[several]], pos[first[several]], True)
 
         held, at = [], None
         for b in batches:
-            for bucket, settled, h, g, doc, pos, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for bucket, settled, *columns in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket != at and held:
-                    yield one(held)
+                    yield from one(held)
                     held = []
                 at = bucket
                 if settled:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(doc, "i8")), pa.array(np.frombuffer(pos, "i4"))], ["doc", "pos"])
+                    yield found(np.frombuffer(columns[3], "i8"), np.frombuffer(columns[4], "i8"), False)
                 else:
-                    held.append((h, g, doc, pos, known))
+                    held.append(columns)
         if held:
-            yield one(held)
+            yield from one(held)
 
-    return sent.mapInArrow(settle, "doc long, pos int")
+    return sent.mapInArrow(settle, "doc long, pos long, check boolean")
 
 
 def _cover_positions(length: int):
@@ -182,14 +204,17 @@ def _cover_positions(length: int):
     def produce():
         import numpy as np
 
-        windows, picked = Windows(length - V + 1, 1), np.zeros(V, bool)
-        picked[list(COVER)] = True
-
-        def work(b, sender):
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for at, h in windows.parts(text.encode()):
-                    p = np.nonzero(np.resize(np.roll(picked, -(at % V)), len(h)))[0]
-                    sender.add(h[p], np.zeros(len(p), "u8"), key, p + at)
+        size, cover = length - V + 1, np.array(COVER)
+        hasher = Hasher(1, size)
+
+        def work(batch, sender):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                b = np.frombuffer(text.encode(), "u1")
+                for at in range(0, len(b), V * 4096):  # a stretch of a very long text at a time
+                    p = (at + np.arange(0, min(V * 4096, len(b) - at), V)[:, None] + cover).ravel()
+                    p = p[p <= len(b) - size]
+                    zero = np.zeros(len(p), "u8")
+                    sender.add(hasher.at(b, p, size), zero, zero, key, p)
                     yield
 
         return work
@@ -197,29 +222,69 @@ def _cover_positions(length: int):
     return produce
 
 
+def block_kinds(length: int) -> list[tuple[int, int]]:
+    """Kinds of blocks, as (shift of its last suffix from the picked position, suffixes); all but the last have STEP."""
+    return [(d, min(STEP, V - d)) for d in range(0, V, STEP)]
+
+
+def _block_starts(at, n: int, length: int):
+    """(kind, last suffix of each block): blocks of a text of n suffixes that hold any, for its members of classes."""
+    import numpy as np
+
+    for kind, width in enumerate(sorted({w for _, w in block_kinds(length)}, reverse=True)):
+        last = np.unique(np.concatenate([at - d for d, w in block_kinds(length) if w == width]))
+        yield kind, width, last[(last >= 0) & (last - width + 1 < n)]
+
+
+def _blocks(length: int):
+    """For a batch with columns uid, text and at: blocks of suffixes by the hashes of their common bytes (h, g) and of all their bytes (f)."""
+
+    def produce():
+        import numpy as np
+
+        one, two, three = (Hasher(k, length + STEP) for k in (2, 3, 4))
+
+        def work(batch, sender):
+            for uid, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                b = np.frombuffer(text.encode(), "u1")
+                for kind, width, last in _block_starts(np.asarray(at), len(b) - length + 1, length):
+                    size, most, start = length - width + 1, length + width - 1, last - width + 1
+                    whole = (start >= 0) & (start + most <= len(b))
+                    # blocks that reach over an end of the text are of no kind but their own
+                    f = (np.uint64(uid) << np.uint64(24)) ^ (last.astype("u8") * np.uint64(0x9E3779B97F4A7C15))
+                    f[whole] = three.at(b, start[whole], most)
+                    sender.add(one.at(b, last, size), two.at(b, last, size), f, uid, last * 2 + kind)
+                yield
+
+        return work
+
+    return produce
+
+
+def suffixes_of(blocks, length: int):
+    """The suffixes of blocks, as repeated() names them (twice the last suffix, plus the kind); some before the text's start."""
+    import numpy as np
+
+    blocks = np.unique(np.asarray(blocks, "i8"))
+    widths = sorted({w for _, w in block_kinds(length)}, reverse=True)
+    parts = [(blocks[blocks % 2 == k] // 2)[:, None] - np.arange(w) for k, w in enumerate(widths)]
+    return np.unique(np.concatenate([p.ravel() for p in parts]))
+
+
 def _suffixes(length: int):
-    """For a batch with columns uid, text and at (cover positions in classes): the suffixes that may tie, by two hashes."""
+    """For a batch with columns uid, text and edges (blocks that go on): their suffixes, by two hashes."""
 
     def produce():
         import numpy as np
 
-        one, two = Windows(length, 2), Windows(length, 3)
+        one, two = Hasher(5, length), Hasher(6, length)
 
-        def work(b, sender):
-            for uid, text, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = text.encode()
-                n = len(data) - length + 1
-                edge = np.zeros(max(n, 0) + 1, "i4")
-                at = np.asarray(at)
-                lo, hi = np.maximum(at - V + 1, 0), np.minimum(at, n - 1)
-                fits = lo <= hi
-                np.add.at(edge, lo[fits], 1)
-                np.add.at(edge, hi[fits] + 1, -1)
-                may = np.cumsum(edge)[:-1] > 0
-                for (s, h), (_, g) in zip(one.parts(data), two.parts(data), strict=True):
-                    p = np.nonzero(may[s : s + len(h)])[0]
-                    sender.add(h[p], g[p], uid, p + s)
-                    yield
+        def work(batch, sender):
+            for uid, text, edges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                b, p = np.frombuffer(text.encode(), "u1"), suffixes_of(edges, length)
+                p = p[(p >= 0) & (p <= len(b) - length)]
+                sender.add(one.at(b, p, length), two.at(b, p, length), np.zeros(len(p), "u8"), uid, p)
+                yield
 
         return work
 
@@ -227,7 +292,10 @@ def _suffixes(length: int):
 
 
 def find_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``k1, k2, text, starts``: each text (once, by its keys) that has repeated strings, and where these begin."""
+    """``k1, k2, text, blocks, starts``: each text (once, by its keys) that has repeated strings, and where these begin.
+
+    They begin at each suffix of ``blocks`` (see suffixes_of()), and at ``starts``.
+    """
     if length < V + 32:
         raise ValueError(f"length must be {V + 32} at least")
     spark = docs.sparkSession
@@ -238,12 +306,27 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH)
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
     picked = repeated(long.select("k1", "text"), _cover_positions(length), buckets)
     picked = common.materialize(picked.groupBy(F.col("doc").alias("k1")).agg(F.collect_set("pos").alias("at")))  # positions of one text
-    # texts with members of classes: few; the keys alone say which, so that Spark can broadcast them while they are small
-    keys = common.materialize(picked.select("k1"))
+    common.release_shuffles(spark)
+    keys = picked.select("k1")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     some = long.join(keys, "k1", "left_semi").dropDuplicates(["k1", "k2"])
     some = common.materialize(some.join(picked, "k1").withColumn("uid", F.monotonically_increasing_id()))
-    starts = repeated(some.select("uid", "text", "at"), _suffixes(length), buckets).groupBy(F.col("doc").alias("uid")).agg(F.collect_set("pos").alias("starts"))
-    return some.select("uid", "k1", "k2", "text").join(starts, "uid").drop("uid")
+    common.discard(spark, picked)
+    common.release_shuffles(spark)
+    blocks = common.materialize(repeated(some.select("uid", "text", "at"), _blocks(length), buckets))
+    common.release_shuffles(spark)
+    # the blocks of one text
+    of_text = blocks.groupBy(F.col("doc").alias("uid")).agg(F.collect_list(F.when(F.col("check"), F.col("pos"))).alias("edges"), F.collect_list(F.when(~F.col("check"), F.col("pos"))).alias("blocks"))
+    of_text = common.materialize(of_text)
+    common.discard(spark, blocks)
+    common.release_shuffles(spark)
+    edges = of_text.where(F.size("edges") > 0).select("uid", "edges")
+    tied = common.materialize(repeated(some.select("uid", "text").join(edges, "uid").select("uid", "text", "edges"), _suffixes(length), buckets))
+    common.release_shuffles(spark)
+    starts = tied.groupBy(F.col("doc").alias("uid")).agg(F.collect_list("pos").alias("starts"))
+    none = F.array().cast("array<bigint>")
+    found = of_text.select("uid", "blocks").join(starts, "uid", "left").withColumn("starts", F.coalesce("starts", none))
+    return some.select("uid", "k1", "k2", "text").join(found.where((F.size("blocks") > 0) | (F.size("starts") > 0)), "uid").drop("uid")
 
 
 def cut(repeats: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -254,9 +337,9 @@ def cut(repeats: DataFrame, length: int = LENGTH) -> DataFrame:
 
         for b in batches:
             out = []
-            for k1, k2, text, starts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k1, k2, text, blocks, starts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = text.encode()
-                p = np.sort(np.asarray(starts))
+                p = np.union1d(suffixes_of(blocks, length), np.asarray(starts, "i8"))
                 gap = np.nonzero(p[1:] > p[:-1] + length)[0]
                 begin, end = p[np.concatenate(([0], gap + 1))], p[np.concatenate((gap, [len(p) - 1]))] + length
                 kept = b"".join(data[s:e] for s, e in zip([0, *end], [*begin, len(data)], strict=True))
@@ -265,7 +348,7 @@ def cut(repeats: DataFrame, length: int = LENGTH) -> DataFrame:
             types = [pa.int64()] * 4 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["k1", "k2", "n_removed", "n_spans", "spans", "kept_sha256", "kept"])
 
-    return repeats.select("k1", "k2", "text", "starts").mapInArrow(run, "k1 long, k2 long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
+    return repeats.select("k1", "k2", "text", "blocks", "starts").mapInArrow(run, "k1 long, k2 long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -281,6 +364,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = copies.withColumns({"n_spans": F.lit(1).cast("long"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest())})
     parts = cut(find_repeats(docs, text_col, length), length).drop("spans", "kept").join(copies.select("k1", "k2"), ["k1", "k2"], "left_anti")
     found = common.materialize(parts.unionByName(copies))
+    common.release_shuffles(docs.sparkSession)
     d = rows.join(found, ["k1", "k2"], "left")
     zero = F.lit(0).cast("long")
     return d.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
