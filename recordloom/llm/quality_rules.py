@@ -100,8 +100,10 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", kee
 
 def passing_documents(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that judge() keeps, all columns, with their frequent lines removed."""
-    keep = tuple(c for c in docs.columns if c != text_col)
-    return judge(docs, host_col, text_col, keep).where("kept").withColumnRenamed("cleaned", text_col).select(*docs.columns)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(1).alias("none")]
+    d = docs.select(F.struct(*others).alias("__row"), F.col(host_col).alias("__host"), F.col(text_col).alias("__text"))
+    d = judge(d, "__host", "__text", ("__row",)).where("kept")
+    return d.select(*[F.col("cleaned" if c == text_col else f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
