@@ -86,8 +86,8 @@ class BKTree:
             i = p[i]
         return i
 
-    def search(self, x: int) -> list[int]:
-        """One node of each component within the radius of x. It ends when all components are found."""
+    def search(self, x: int) -> dict[int, int]:
+        """Component -> one node of it within the radius of x. It ends when all components are found."""
         values, children, r, got, stack = self.values, self.children, self.radius, {}, [0] if self.values else []
         while stack:
             i = stack.pop()
@@ -98,7 +98,7 @@ class BKTree:
                     break
             # the nearest edge last, so that it is followed first
             stack.extend(c for _, c in sorted(((abs(e - d), c) for e, c in children[i].items() if -r <= e - d <= r), reverse=True))
-        return list(got)
+        return got
 
     def join(self, roots: list[int]) -> None:
         for i in roots[1:]:
@@ -107,7 +107,7 @@ class BKTree:
 
     def insert(self, x: int) -> list[int]:
         """Adds x; returns the values to which it now links."""
-        roots = self.search(x)
+        near = self.search(x)
         new = len(self.values)
         if new:
             i = 0
@@ -122,14 +122,14 @@ class BKTree:
         self.children.append({})
         self.parent.append(new)
         self.parts += 1
-        self.join([*roots, new])
-        return [self.values[i] for i in roots]
+        self.join([*near, new])
+        return [self.values[i] for i in near.values()]
 
     def touch(self, x: int) -> list[int]:
         """The values to which x, which isn't in the tree, links; their components are one from now on."""
-        roots = self.search(x)
-        self.join(roots)
-        return [self.values[i] for i in roots]
+        near = self.search(x)
+        self.join([*near])
+        return [self.values[i] for i in near.values()]
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
