@@ -17,4 +17,4 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
-ORACLE_SQL = {"op5_nearest": nearest.OP5_SQL, "op10_quality_rules": quality_rules.OP10_SQL}
+ORACLE_SQL = {"op2_secret_scans": secret_scans.OP2_SQL, "op5_nearest": nearest.OP5_SQL, "op10_quality_rules": quality_rules.OP10_SQL}

@@ -140,3 +140,40 @@ def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(common.read(spark, sf_dir, "documents")).drop("uid")
+
+
+def _kind_sql(name: str, pattern: str, good: str, value: str = "x") -> str:
+    """Matches of a pattern: rid, s, e, v. Marks cut the text; matches are the even pieces."""
+    p = pattern.replace("'", "''")
+    return f"""{name}_p AS (
+  SELECT rid, unnest(p) AS x, generate_subscripts(p, 1) AS i
+  FROM (SELECT rid, string_split(regexp_replace(t, '{p}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS p FROM d)
+), {name} AS (
+  SELECT rid, s, s + length(x) AS e, {value.replace("PATTERN", p)} AS v FROM (SELECT *, (sum(length(x)) OVER (PARTITION BY rid ORDER BY i))::BIGINT - length(x) AS s FROM {name}_p)
+  WHERE i % 2 = 0 AND {good.replace("PATTERN", p)}
+)"""
+
+
+#: Runs are whole in an engine whose patterns look for the leftmost longest one, so no look behind is needed.
+OP2_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS owner, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+{_kind_sql("a", ASSIGN, "length(regexp_extract(x, 'PATTERN', 2)) >= 6", "regexp_extract(x, 'PATTERN', 2)")},
+{_kind_sql("k", ACCESS, "length(x) >= 20")},
+{_kind_sql("h", HEX, "length(x) >= 24")},
+{_kind_sql("o", "[A-Za-z0-9+/_=-]{20,}", "regexp_matches(x, '(?:[0-9].*){3}') AND regexp_matches(x, '(?:[A-Za-z].*){3}')")},
+base AS (
+  SELECT rid, s, e, v, 0 AS kind, e - length(v) AS vs FROM a UNION ALL SELECT rid, s, e, v, 1, s FROM k UNION ALL SELECT rid, s, e, v, 2, s FROM h
+), c AS (
+  SELECT rid, s, e, v, kind FROM base UNION ALL SELECT rid, s, e, v, 3 FROM o WHERE NOT EXISTS (FROM base b WHERE b.rid = o.rid AND b.vs = o.s AND b.e = o.e)
+), w AS (SELECT v, count(DISTINCT owner) AS owners FROM c JOIN d USING (rid) GROUP BY v
+), j AS (SELECT c.*, owners, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s || ':' || e AS span FROM c JOIN w USING (v)
+), g AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS na, count(*) FILTER (kind = 1) AS nk, count(*) FILTER (kind = 2) AS nh,
+    string_agg(span, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind, e) FILTER (kind < 3 OR owners < {EXAMPLE_OWNERS}) AS spans,
+    count(*) FILTER (kind < 3 AND owners < {EXAMPLE_OWNERS}) AS live, count(*) FILTER (kind < 3 AND owners >= {EXAMPLE_OWNERS}) AS examples
+  FROM j GROUP BY rid
+)
+SELECT doc_id, coalesce(na, 0) AS n_assign, coalesce(nk, 0) AS n_access, coalesce(nh, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(live, 0) AS n_live, coalesce(examples, 0) AS n_examples
+FROM d LEFT JOIN g USING (rid)
+"""
