@@ -45,6 +45,8 @@ def _letters(text: str) -> str:
             name = unicodedata.name(c, "")
             if "VOWEL SIGN" in name:
                 out.append(name.rsplit(" ", 1)[-1].lower())
+        elif unicodedata.category(c)[0] in "PSZ":
+            out.append("'" if c in "\u2018\u2019\u02bc\u2032" else " ")
         else:
             name = unicodedata.name(c, "")
             kind = next((k for k in (" LETTER ", " LIGATURE ", " DIGIT ", " VOWEL SIGN ") if k in name), None)
@@ -89,7 +91,7 @@ def name_tokens(x: Column) -> Column:
     s = F.replace(F.replace(s, F.lit("&"), F.lit(" and ")), F.lit("+"), F.lit(" plus "))
     s = F.regexp_replace(F.translate(s, ".'`’", ""), "[^a-z0-9]+", " ")
     read = lambda t: F.when(t.rlike("[0-9]") & t.rlike("[a-z]"), F.translate(t, lex.OCR_DIGITS, lex.OCR_LETTERS)).otherwise(t)
-    classes, spoken = literal_map(lex.LEGAL_CLASSES), literal_map(_SPOKEN)
+    classes, spoken = literal_map(lex.LEGAL_CLASSES), literal_map(SPOKEN_SKELETONS)
 
     def tag(t: Column) -> Column:
         listed = F.array_contains(any_of(lex.LEGAL_WORDS), t)
@@ -100,7 +102,7 @@ def name_tokens(x: Column) -> Column:
 
 
 #: Skeletons of the spoken legal words, by the rules above (private, limited, corporation, company, incorporated, limitad).
-_SPOKEN = {"prbt": "pvt", "lnt": "ltd", "krprtn": "inc", "knpn": "co", "nkrprt": "inc"}
+SPOKEN_SKELETONS = {"prbt": "pvt", "lnt": "ltd", "krprtn": "inc", "knpn": "co", "nkrprt": "inc"}
 
 
 def normalize_name(x: Column) -> Column:

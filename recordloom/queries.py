@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom import oracle_text
 from recordloom.functions import text
 from recordloom.functions.similarity import similarity
 from recordloom.operators import assignment, blocking, diagnostics, group_features, metrics, pair_features, rescue, splits, vectors
@@ -115,19 +116,6 @@ d AS (
 )"""
 
 
-def skeleton_sql(x: str) -> str:
-    """The skeleton rewrites for an engine without lookahead and back references in patterns."""
-    from recordloom.functions import lexicon
-
-    for a, b in lexicon.SKELETON_REWRITES:
-        a, b = (a.replace("(?=[eiy])", "([eiy])"), "s\\1") if "(?=" in a else (a, b.replace("$1", "\\1"))
-        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
-    x = f"translate({x}, '{lexicon.SKELETON_FROM}', '{lexicon.SKELETON_TO}')"
-    for c in "bcdfghjklmnpqrstvwxz0123456789":
-        x = f"regexp_replace({x}, '{c}{c}+', '{c}', 'g')"
-    return x
-
-
 # ---------------------------------------------------------------- queries
 
 
@@ -383,7 +371,9 @@ QUERIES = {n[2:]: f for n, f in dict(globals()).items() if n.startswith("q_")}
 
 TEXT_WORDS = r"[x FOR x IN string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') IF x <> '']"
 ORACLE_SQL = {
-    "skeleton": f"SELECT word, {skeleton_sql('word')} AS skel FROM (SELECT DISTINCT unnest({TEXT_WORDS}) AS word FROM documents)",
+    "skeleton": f"SELECT word, {oracle_text.skeleton_sql('word')} AS skel FROM (SELECT DISTINCT unnest({TEXT_WORDS}) AS word FROM documents)",
+    "normalize_names": oracle_text.names_sql(),
+    "normalize_addresses": oracle_text.addresses_sql(),
     "name_keys": f"WITH {KEYS} SELECT country, key, round(idf, 9) AS idf FROM idf",
     "block_name_key": f"""WITH {KEYS} SELECT tid, s1, country, round(cos, 6) AS cos, r::INT AS rank
         FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY round(cos, 8) DESC, s1) AS r FROM cos) WHERE r <= 10""",
