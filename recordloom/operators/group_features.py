@@ -123,7 +123,9 @@ def add_name_weights(features: DataFrame, reference: DataFrame, targets: DataFra
     pairs = features.select("tid", "s1", "country").distinct().join(toks(reference, "s1"), "s1", "left").join(toks(targets, "tid"), "tid", "left")
     none = F.array().cast("array<string>")
     pairs = pairs.withColumns({"a": F.coalesce("s1_w", none), "b": F.coalesce("tid_w", none)})
-    tagged = F.transform(F.array_union("a", "b"), lambda w: F.struct(w.alias("tok"), F.array_contains("a", w).alias("in_s"), F.array_contains("b", w).alias("in_t")))
+    # set operations by hash: a text's words are looked up once each, however long it is
+    tag = lambda words_, s, t: F.transform(words_, lambda w: F.struct(w.alias("tok"), F.lit(s).alias("in_s"), F.lit(t).alias("in_t")))
+    tagged = F.concat(tag(F.array_intersect("a", "b"), True, True), tag(F.array_except("a", "b"), True, False), tag(F.array_except("b", "a"), False, True))
     d = pairs.select("tid", "s1", "country", F.explode(tagged).alias("x")).select("tid", "s1", "country", "x.*")
     d = d.join(name_weights(reference), ["country", "tok"], "left").join(most, "country", "left").withColumn("w", F.coalesce("idf", "top"))
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0.0))
