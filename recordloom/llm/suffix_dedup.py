@@ -236,6 +236,22 @@ def _block_starts(at, n: int, length: int):
         yield kind, width, last[(last >= 0) & (last - width + 1 < n)]
 
 
+def mixed(x):
+    """A bijection of 64-bit numbers that spreads every bit over all."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def own_kinds(uid: int, last):
+    """A kind for each block of text ``uid``: all bits of uid and of the block's last suffix count, at any number of partitions."""
+    import numpy as np
+
+    return mixed(mixed(np.full(len(last), uid, "u8")) + last.astype("u8"))
+
+
 def _blocks(length: int):
     """For a batch with columns uid, text and at: blocks of suffixes by the hashes of their common bytes (h, g) and of all their bytes (f)."""
 
@@ -251,7 +267,7 @@ def _blocks(length: int):
                     size, most, start = length - width + 1, length + width - 1, last - width + 1
                     whole = (start >= 0) & (start + most <= len(b))
                     # blocks that reach over an end of the text are of no kind but their own
-                    f = (np.uint64(uid) << np.uint64(24)) ^ (last.astype("u8") * np.uint64(0x9E3779B97F4A7C15))
+                    f = own_kinds(uid, last)
                     f[whole] = three.at(b, start[whole], most)
                     sender.add(one.at(b, last, size), two.at(b, last, size), f, uid, last * 2 + kind)
                 yield
@@ -340,6 +356,9 @@ def cut(repeats: DataFrame, length: int = LENGTH) -> DataFrame:
             for k1, k2, text, blocks, starts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = text.encode()
                 p = np.union1d(suffixes_of(blocks, length), np.asarray(starts, "i8"))
+                p = p[(p >= 0) & (p <= len(data) - length)]
+                if not len(p):
+                    continue
                 gap = np.nonzero(p[1:] > p[:-1] + length)[0]
                 begin, end = p[np.concatenate(([0], gap + 1))], p[np.concatenate((gap, [len(p) - 1]))] + length
                 kept = b"".join(data[s:e] for s, e in zip([0, *end], [*begin, len(data)], strict=True))
