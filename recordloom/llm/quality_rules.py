@@ -35,11 +35,17 @@ def lines_with_words(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(common.SPACE_CHARS)) != "")
 
 
-def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", share: float = SHARE, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """``host, frequent``: for each host that has any, the hashes of lines that are in too many of its documents."""
+def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", share: float = SHARE, least_docs: int = LEAST_DOCS, distinct_texts: bool = False) -> DataFrame:
+    """``host, frequent``: for each host that has any, the hashes of lines that are in too many of its documents.
+
+    With ``distinct_texts``, copies of a text in a host count as one document, in the lines' counts and in the limit.
+    """
     d = docs.select(host_key(host_col).alias("host"), common.text_of(text_col).alias("text"))
     hashes = F.array_distinct(F.transform(lines_with_words(F.col("text")), lambda x: F.xxhash64(normalised(x))))
-    counts = d.select("host", F.explode(hashes).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"))
+    d = d.select("host", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), hashes.alias("hashes"))
+    if distinct_texts:
+        d = d.dropDuplicates(["host", "k1", "k2"])
+    counts = d.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"))
     limits = d.groupBy("host").agg(F.greatest(F.lit(float(least_docs)), F.count(F.lit(1)) * share).alias("most"))
     return counts.where(F.col("docs") > least_docs).join(limits, "host").where(F.col("docs") > F.col("most")).groupBy("host").agg(F.collect_list("h").alias("frequent"))
 
@@ -65,14 +71,14 @@ def repeated_words(d: DataFrame, words: str, out: str) -> DataFrame:
     return d.withColumn(out, F.coalesce(F.aggregate("__at", zero, step)["n"], F.lit(0)).cast("long")).drop("__at")
 
 
-def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), share: float = SHARE, least_docs: int = LEAST_DOCS) -> DataFrame:
+def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), share: float = SHARE, least_docs: int = LEAST_DOCS, distinct_texts: bool = False) -> DataFrame:
     """The columns ``keep``, the base counts, ``n_removed_words``, ``kept`` and ``cleaned``, the text without frequent lines.
 
     A null text counts as empty; it has no words and fails. Documents whose host is null are one host. Repeated rows are
-    documents of their own, and count as such. No other columns are read; an empty table gives an empty result.
+    documents of their own, and count as such unless ``distinct_texts`` is set (see frequent_lines()). No other columns are read; an empty table gives an empty result.
     Reads ``docs`` twice.
     """
-    frequent = common.materialize(frequent_lines(docs, host_col, text_col, share, least_docs))
+    frequent = common.materialize(frequent_lines(docs, host_col, text_col, share, least_docs, distinct_texts))
     d = docs.select(*[F.col(c).alias(f"__keep_{c}") for c in keep], host_key(host_col).alias("host"), common.text_of(text_col).alias("__text"))
     d = d.join(frequent, "host", "left").drop("host")
     text = F.col("__text")
@@ -98,11 +104,11 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", kee
     return d.select(F.inline(F.array(F.struct(*out))))
 
 
-def passing_documents(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def passing_documents(docs: DataFrame, host_col: str = "source", text_col: str = "text", distinct_texts: bool = False) -> DataFrame:
     """The rows of ``docs`` that judge() keeps, all columns, with their frequent lines removed."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(1).alias("none")]
     d = docs.select(F.struct(*others).alias("__row"), F.col(host_col).alias("__host"), F.col(text_col).alias("__text"))
-    d = judge(d, "__host", "__text", ("__row",)).where("kept")
+    d = judge(d, "__host", "__text", ("__row",), distinct_texts=distinct_texts).where("kept")
     return d.select(*[F.col("cleaned" if c == text_col else f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
