@@ -9,17 +9,18 @@ from . import common
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node links its larger neighbours to its smallest neighbour (or itself)."""
+    """Each node links its larger neighbours to its smallest neighbour (or itself). A hub's neighbours are dealt to several tasks."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    stars = common.materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")))
+    moved = common.spread_join(both.where("b > a"), stars.select("a", "m"), ["a"], stars)
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node links its smaller neighbours, and itself, to the smallest of them. Rows have a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    stars = common.materialize(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+    moved = common.spread_join(edges, stars.select("a", "m"), ["a"], stars).where("b > m")
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(stars.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -32,8 +33,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = common.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     for _ in range(most_rounds):
-        new = common.materialize(_small_star(_large_star(now)))
-        common.discard(spark, now)
+        large = common.materialize(_large_star(now))
+        new = common.materialize(_small_star(large))
+        common.discard(spark, now, large)
         now = new
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:

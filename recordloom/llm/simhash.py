@@ -6,7 +6,9 @@ Hamming distance to the parent; a search follows only edges within the radius. A
 share their bits, they make several trees, and each node searches the trees before its own.
 
 The whole corpus's trees have no size bound, so trees aren't broadcast to all tasks: each tree and the nodes that
-search it are sent to one task, trees first, and that task keeps one tree at a time. A tree's found links are kept as
+search it are sent to one task, trees first, and that task keeps one tree at a time. Bits that more than SHARD nodes share are
+cut again (see refined_keys()), so that a hot shard becomes many; where nodes still make several trees, each
+tree goes to several tasks, among which its searches are dealt. A tree's found links are kept as
 a forest: a node links to one node of each component that it touches, so a group of n near copies gives about n
 links and not its square.
 """
@@ -63,14 +65,34 @@ def blocks_for(n: int) -> int:
     return 4 if n < 1 << 22 else 5 if n < 1 << 31 else 6
 
 
-def shard_keys(fp: Column, blocks: int) -> Column:
-    """The keys of the shards of a fingerprint: for each choice of blocks - RADIUS blocks, its number and their bits."""
+def shard_masks(blocks: int) -> list[int]:
+    """The bits of each choice of blocks - RADIUS blocks."""
     edges = [BITS * i // blocks for i in range(blocks + 1)]
-    keys = []
-    for k, chosen in enumerate(combinations(range(blocks), blocks - RADIUS)):
-        mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
-        keys.append(F.struct(F.lit(k).alias("choice"), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("key")))
-    return F.array(*keys)
+    return [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen) for chosen in combinations(range(blocks), blocks - RADIUS)]
+
+
+def refined_masks(masks: list[int]) -> list[int]:
+    """RADIUS + 1 masks for each: its bits, and one part of all others. Fingerprints that share a mask's bits and link also share one part."""
+    out = []
+    for mask in masks:
+        rest = [i for i in range(BITS) if not mask >> i & 1]
+        edges = [len(rest) * i // (RADIUS + 1) for i in range(RADIUS + 2)]
+        out.extend(mask | sum(1 << i for i in rest[s:e]) for s, e in zip(edges[:-1], edges[1:], strict=True))
+    return out
+
+
+def shard_keys(fp: Column, masks: list[int], at: list[int] | None = None) -> Column:
+    """``choice, key`` of a fingerprint's shards: the numbers of masks (those ``at``, or all), and its bits there."""
+    signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
+    return F.array(*[F.struct(F.lit(k).alias("choice"), fp.bitwiseAND(F.lit(signed(masks[k]))).alias("key")) for k in (range(len(masks)) if at is None else at)])
+
+
+def refined_keys(keyed: DataFrame, masks: list[int]) -> tuple[DataFrame, list[int]]:
+    """The rows ``fp, choice, key`` under finer masks, and these."""
+    finer = refined_masks(masks)
+    parts = RADIUS + 1
+    keys = F.element_at(F.array(*[shard_keys(F.col("fp"), finer, range(k * parts, k * parts + parts)) for k in range(len(masks))]), F.col("choice") + 1)
+    return keyed.select("fp", F.explode(keys).alias("k")).select("fp", "k.choice", "k.key"), finer
 
 
 class BKTree:
@@ -132,28 +154,50 @@ class BKTree:
         return [self.values[i] for i in near.values()]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """``a, b``: links between different fingerprints (column fp) that connect all within the radius. ``nodes`` is read twice."""
+def shards(nodes: DataFrame, shard: int = SHARD, refinements: int = 2) -> DataFrame:
+    """``fp, level, choice, key, n``: each node's shards that hold others too, with their sizes; few have more than ``shard`` nodes."""
+    masks = shard_masks(blocks_for(nodes.count()))
+    keyed = nodes.select("fp", F.explode(shard_keys(F.col("fp"), masks)).alias("k")).select("fp", "k.choice", "k.key")
+    out = None
+    for level in range(refinements + 1):
+        keyed = common.materialize(keyed)
+        sizes = common.materialize(keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        sized = common.spread_join(keyed, sizes, ["choice", "key"], sizes).withColumn("level", F.lit(level))
+        last = level == refinements or sizes.where(F.col("n") > shard).isEmpty()
+        fine = sized if last else sized.where(F.col("n") <= shard)
+        out = fine if out is None else out.unionByName(fine)
+        if last:
+            return out.select("fp", "level", "choice", "key", "n")
+        keyed, masks = refined_keys(sized.where(F.col("n") > shard), masks)
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD, refinements: int = 2) -> DataFrame:
+    """``a, b``: links between different fingerprints (column fp) that connect all within the radius. ``nodes`` is read several times."""
     common.small_batches(nodes.sparkSession)
-    keyed = nodes.select("fp", F.explode(shard_keys(F.col("fp"), blocks_for(nodes.count()))).alias("k")).select("fp", "k.choice", "k.key")
-    sizes = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = keyed.join(sizes, ["choice", "key"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / shard).cast("long")).cast("int"))
-    rows = rows.select("fp", "choice", "key", "own", F.explode(F.sequence(F.lit(0), "own")).alias("tree"))
-    rows = rows.select("choice", "key", "tree", (F.col("own") != F.col("tree")).alias("probe"), "fp")
-    rows = rows.repartition("choice", "key", "tree").sortWithinPartitions("choice", "key", "tree", "probe", "fp")
+    trees = F.ceil(F.col("n") / shard).cast("int")
+    rows = shards(nodes, shard, refinements).withColumn("own", F.pmod(F.xxhash64("fp"), trees).cast("int"))
+    # a tree's searches are about as many as its nodes times the trees after it: so many tasks get the tree, and each a part of them
+    copies = trees - F.col("tree")
+    probe = F.col("own") != F.col("tree")
+    rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), "own")))
+    copy = F.when(probe, F.array(F.pmod(F.xxhash64("fp", F.lit(1)), copies).cast("int"))).otherwise(F.sequence(F.lit(0), copies - 1))
+    rows = rows.select("level", "choice", "key", "tree", F.explode(copy).alias("copy"), probe.alias("probe"), "fp")
+    place = ["level", "choice", "key", "tree", "copy"]
+    rows = rows.repartition(*place).sortWithinPartitions(*place, "probe", "fp")
 
     def find(batches):
         tree, at = None, None
         for b in batches:
             out_a, out_b = [], []
-            choice, key, shard_no, probe, fp = (c.to_pylist() for c in b.columns)
-            for here, is_probe, x in zip(zip(choice, key, shard_no, strict=True), probe, fp, strict=True):
-                if here != at:
-                    tree, at = BKTree(radius), here
+            *here, probe, fp = (c.to_pylist() for c in b.columns)
+            for now, is_probe, x in zip(zip(*here, strict=True), probe, fp, strict=True):
+                if now != at:
+                    tree, at = BKTree(radius), now
                 u = x & 0xFFFFFFFFFFFFFFFF
                 for y in tree.touch(u) if is_probe else tree.insert(u):
-                    out_a.append(x)
-                    out_b.append(y - (1 << 64) if y >> 63 else y)
+                    if is_probe or not now[-1]:  # the first copy of a tree tells its own links
+                        out_a.append(x)
+                        out_b.append(y - (1 << 64) if y >> 63 else y)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(find, "a long, b long")
@@ -167,13 +211,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component's smallest id. Other columns aren't read. An empty table gives an empty result.
     """
     rows = common.materialize(fingerprints(docs, id_col, text_col, row_col))
-    nodes = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes))
+    nodes = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    roots = components(links(nodes.select("fp")))
     known = roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "least")
     smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
     grouped = known.select("fp", "root").join(smallest, "root")
     of_fp = nodes.join(grouped, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("group"))
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "row", "component_id", "group")
+    return common.spread_join(rows, common.materialize(of_fp), ["fp"], nodes).select("doc_id", "fp", "row", "component_id", "group")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
