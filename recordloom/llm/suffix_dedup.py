@@ -15,6 +15,10 @@ Only equality over ``length`` bytes matters, so suffixes are compared to that de
 4. Each text with repeats gets the union of its repeated strings. Copies of one text count as one text in 1 to 3,
    and lose all their bytes.
 
+A passage of over 50 words is often shorter than ``length``, so it can repeat across documents and lose nothing. find_passages() reports
+such passages by the same method over words: a difference cover of the word positions, classes of the strings that begin there, and
+the windows of PASSAGE words around classes that several texts have.
+
 Buckets travel as packed arrays, a row for each bucket and flush. Before that, a map task settles what it can: of equal
 strings within a flush one goes on, so a string that a third of all texts have adds a row for each flush and not for each text.
 """
@@ -40,6 +44,9 @@ STRIDE = 1 << 17
 PACKED = "bucket int, settled boolean, h binary, g binary, f binary, doc binary, pos binary, known binary"
 #: Suffixes of a block.
 STEP = 32
+#: Words of a passage, and a perfect difference set (fixed values) for their positions.
+PASSAGE, WORD_V = 51, 31
+WORD_COVER = (1, 5, 11, 24, 25, 27)
 #: Up to so many keys (16 MB) tell by a broadcast which texts have members of classes; beyond, by a join.
 BROADCAST_KEYS = 1 << 21
 
@@ -64,25 +71,59 @@ class Hasher:
         return np.cumprod(p, dtype="u8")
 
     def at(self, b, starts, size: int):
-        """The hash of the ``size`` bytes at each of the ascending ``starts`` of the byte array b; ``size`` is at most ``reach``."""
+        """The hash of the ``size`` items at each of the ascending ``starts`` of b, bytes or 64-bit numbers; ``size`` is at most ``reach``."""
         import numpy as np
 
         out = np.zeros(len(starts), "u8")
         edges = np.searchsorted(starts, np.arange(0, len(b) + STRIDE, STRIDE))
         for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             if i < j:
-                x = self.table[b[k * STRIDE : (k + 1) * STRIDE + size]]
+                x = b[k * STRIDE : (k + 1) * STRIDE + size]
+                x = self.table[x] if x.dtype == "u1" else x
                 sums = np.concatenate((np.zeros(1, "u8"), np.cumsum(x * self.up[: len(x)], dtype="u8")))
                 p = starts[i:j] - k * STRIDE
                 out[i:j] = (sums[p + size] - sums[p]) * self.down[p]
         return out
 
 
+class WordHasher:
+    """A hash of each word of a text: a polynomial of its bytes, mixed. White space of any kind and length only separates words."""
+
+    def __init__(self, seed: int):
+        import numpy as np
+
+        rng = np.random.default_rng(seed)
+        self.table = rng.integers(0, 2**64, 256, dtype="u8")
+        self.space = np.zeros(256, bool)
+        self.space[[ord(c) for c in common.SPACE_CHARS]] = True
+        self.table[self.space] = 0
+        m = int(rng.integers(0, 2**62)) * 8 + 5
+        self.low, self.high = Hasher._powers(m, STRIDE), Hasher._powers(pow(m, STRIDE, 2**64), STRIDE)
+
+    def __call__(self, b):
+        import numpy as np
+
+        word = ~self.space[b]
+        starts = np.flatnonzero(word & ~np.concatenate((np.zeros(1, bool), word[:-1]))) if len(b) else np.zeros(0, "i8")
+        out = np.zeros(len(starts), "u8")
+        edges = np.searchsorted(starts, np.arange(0, len(b) + STRIDE, STRIDE))
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            if i < j:
+                at, end = starts[i], starts[j] if j < len(starts) else len(b)
+                begin = starts[i:j] - at
+                k = np.arange(end - at) - np.repeat(begin, np.diff(np.append(begin, end - at)))
+                x = self.table[b[at:end]] * self.low[k % STRIDE]
+                if k[-1] >= STRIDE or k.max() >= STRIDE:
+                    x *= self.high[k // STRIDE]
+                out[i:j] = np.add.reduceat(x, begin)
+        return mixed(out)
+
+
 class Sender:
     """Gathers (hash, second hash, kind, document, position), settles repeats among them, and packs the rest by bucket."""
 
-    def __init__(self, buckets: int, task: int):
-        self.buckets, self.task, self.rows, self.n = buckets, task, [], 0
+    def __init__(self, buckets: int, task: int, across: bool = False):
+        self.buckets, self.task, self.across, self.rows, self.n = buckets, task, across, [], 0
 
     def add(self, h, g, f, doc: int, pos) -> None:
         import numpy as np
@@ -98,7 +139,7 @@ class Sender:
             return []
         h, g, f, doc, pos = (np.concatenate(c) for c in zip(*self.rows, strict=True))
         self.rows, self.n = [], 0
-        first, many, every = classes(h, g, f, doc, pos)
+        first, many, every = classes(h, g, f, doc, pos, self.across)
         out = []
         if len(every):
             self.task += 1
@@ -113,8 +154,11 @@ class Sender:
         return out
 
 
-def classes(h, g, f, doc, pos):
-    """Of equal (h, g, f): the index of one member each, whether others differ from it in (doc, pos), and all members of those that do."""
+def classes(h, g, f, doc, pos, across: bool = False):
+    """Of equal (h, g, f): the index of one member each, whether others differ from it in (doc, pos), and all members of those that do.
+
+    With ``across`` only other documents count; of a class that one document has alone, all members go on and not one.
+    """
     import numpy as np
 
     order = np.argsort(h, kind="stable")
@@ -131,24 +175,25 @@ def classes(h, g, f, doc, pos):
     new_class = np.concatenate((np.ones(some, bool), ~same))
     again = np.concatenate((np.zeros(some, bool), same & equal(doc) & equal(pos)))
     k = np.cumsum(new_class) - 1
-    size = np.bincount(k[~again], minlength=int(k[-1]) + 1 if some else 0)
-    heads = tied[new_class]
-    first = np.concatenate((np.nonzero(alone)[0], heads))
-    many = np.concatenate((np.zeros(int(alone.sum()), bool), size > 1))
+    counted = new_class | np.concatenate((np.zeros(some, bool), ~equal(doc))) if across else ~again
+    size = np.bincount(k[counted], minlength=int(k[-1]) + 1 if some else 0)
+    heads = new_class | (~again & (size[k] == 1)) if across and some else new_class
+    first = np.concatenate((np.nonzero(alone)[0], tied[heads]))
+    many = np.concatenate((np.zeros(int(alone.sum()), bool), size[k[heads]] > 1))
     order = np.argsort(first, kind="stable")
     return first[order], many[order], tied[~again & (size[k] > 1)] if some else tied
 
 
-def repeated(rows: DataFrame, produce, buckets: int) -> DataFrame:
+def repeated(rows: DataFrame, produce, buckets: int, across: bool = False) -> DataFrame:
     """``doc, pos, check`` (some twice): members of ties in (h, g, f) at different places, and, with ``check``, one of each f of a tie in (h, g) with several.
 
-    produce() turns a batch into calls of Sender.add().
+    produce() turns a batch into calls of Sender.add(). With ``across``, places differ only if their documents do.
     """
 
     def send(batches):
         from pyspark import TaskContext
 
-        sender, work = Sender(buckets, TaskContext.get().partitionId()), produce()
+        sender, work = Sender(buckets, TaskContext.get().partitionId(), across), produce()
 
         def packed(out):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), *[pa.binary()] * 6), strict=True)], names)
@@ -171,7 +216,7 @@ def repeated(rows: DataFrame, produce, buckets: int) -> DataFrame:
 
         def one(held):
             h, g, f, doc, pos, known = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*held, strict=True), ("u8", "u8", "u8", "i8", "i8", "?"), strict=True))
-            first, _, every = classes(h, g, f, doc, pos)
+            first, _, every = classes(h, g, f, doc, pos, across)
             # a task has settled what it knows to have an equal
             yield found(doc[every[~known[every]]], pos[every[~known[every]]], False)
             first = first[np.lexsort((f[first], g[first], h[first]))]
@@ -322,23 +367,18 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH)
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
     picked = repeated(long.select("k1", "text"), _cover_positions(length), buckets)
     picked = common.materialize(picked.groupBy(F.col("doc").alias("k1")).agg(F.collect_set("pos").alias("at")))  # positions of one text
-    common.release_shuffles(spark)
     keys = picked.select("k1")
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     some = long.join(keys, "k1", "left_semi").dropDuplicates(["k1", "k2"])
     some = common.materialize(some.join(picked, "k1").withColumn("uid", F.monotonically_increasing_id()))
     common.discard(spark, picked)
-    common.release_shuffles(spark)
     blocks = common.materialize(repeated(some.select("uid", "text", "at"), _blocks(length), buckets))
-    common.release_shuffles(spark)
     # the blocks of one text
     of_text = blocks.groupBy(F.col("doc").alias("uid")).agg(F.collect_list(F.when(F.col("check"), F.col("pos"))).alias("edges"), F.collect_list(F.when(~F.col("check"), F.col("pos"))).alias("blocks"))
     of_text = common.materialize(of_text)
     common.discard(spark, blocks)
-    common.release_shuffles(spark)
     edges = of_text.where(F.size("edges") > 0).select("uid", "edges")
     tied = common.materialize(repeated(some.select("uid", "text").join(edges, "uid").select("uid", "text", "edges"), _suffixes(length), buckets))
-    common.release_shuffles(spark)
     starts = tied.groupBy(F.col("doc").alias("uid")).agg(F.collect_list("pos").alias("starts"))
     none = F.array().cast("array<bigint>")
     found = of_text.select("uid", "blocks").join(starts, "uid", "left").withColumn("starts", F.coalesce("starts", none))
@@ -370,23 +410,103 @@ def cut(repeats: DataFrame, length: int = LENGTH) -> DataFrame:
     return repeats.select("k1", "k2", "text", "blocks", "starts").mapInArrow(run, "k1 long, k2 long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row.
+def _word_positions(passage: int):
+    """For a batch with columns key and text: the picked words, and hashes of the words that a shift leaves of a passage."""
+
+    def produce():
+        import numpy as np
+
+        size, cover = passage - WORD_V + 1, np.array(WORD_COVER)
+        words, hasher = WordHasher(7), Hasher(8, size)
+
+        def work(batch, sender):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = words(np.frombuffer(text.encode(), "u1"))
+                if len(w) >= passage:
+                    p = (np.arange(0, len(w), WORD_V)[:, None] + cover).ravel()
+                    p = p[p <= len(w) - size]
+                    zero = np.zeros(len(p), "u8")
+                    sender.add(hasher.at(w, p, size), zero, zero, key, p)
+                yield
+
+        return work
+
+    return produce
+
+
+def _word_windows(passage: int):
+    """For a batch with columns uid, text and at (picked words that recur): the windows that hold them, by two hashes."""
+
+    def produce():
+        import numpy as np
+
+        words, one, two = WordHasher(7), Hasher(9, passage), Hasher(10, passage)
+
+        def work(batch, sender):
+            for uid, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                w = words(np.frombuffer(text.encode(), "u1"))
+                p = np.unique(np.asarray(at, "i8")[:, None] - np.arange(WORD_V))
+                p = p[(p >= 0) & (p <= len(w) - passage)]
+                sender.add(one.at(w, p, passage), two.at(w, p, passage), np.zeros(len(p), "u8"), uid, p)
+                yield
+
+        return work
+
+    return produce
+
+
+def find_passages(docs: DataFrame, text_col: str = "text", passage: int = PASSAGE) -> DataFrame:
+    """``k1, k2, n_passage_words``: for each text (once, by its keys) that has any, its words in passages of ``passage`` words that another text has too.
+
+    Words are compared as they are, and white space isn't. Copies of one text count as one text; a null text is empty.
+    """
+    if passage < WORD_V:
+        raise ValueError(f"passage must be {WORD_V} at least")
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    text = common.text_of(text_col)
+    long = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), text.alias("text")).where(F.octet_length("text") >= 2 * passage - 1)
+    total = long.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    buckets = max(LEAST_BUCKETS, -(-total // (2 * BUCKET_BYTES)))
+    picked = repeated(long.select("k1", "text"), _word_positions(passage), buckets, across=True)
+    picked = common.materialize(picked.groupBy(F.col("doc").alias("k1")).agg(F.collect_set("pos").alias("at")))
+    keys = picked.select("k1")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    some = long.join(keys, "k1", "left_semi").dropDuplicates(["k1", "k2"])
+    some = common.materialize(some.join(picked, "k1").withColumn("uid", F.monotonically_increasing_id()))
+    common.discard(spark, picked)
+    starts = repeated(some.select("uid", "text", "at"), _word_windows(passage), buckets, across=True)
+    starts = starts.where(~F.col("check")).groupBy(F.col("doc").alias("uid")).agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    step = lambda a, p: F.struct((a["n"] + p + passage - F.greatest(p, a["end"])).alias("n"), (p + passage).alias("end"))
+    n = starts.select("uid", F.aggregate("at", zero, step)["n"].alias("n_passage_words"))
+    return some.select("uid", "k1", "k2").join(n, "uid").drop("uid")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words`` for each row.
 
-    A byte goes if a string of ``length`` bytes that covers it also starts anywhere else. Repeated rows repeat each other's
-    strings; a null text is empty; texts shorter than ``length`` lose nothing. Ids may be null; other columns aren't read; an
+    A byte goes if a string of ``length`` bytes that covers it also starts anywhere else. ``n_passage_words`` counts the words in passages
+    of ``passage`` words that another document has too, of whatever bytes; they aren't removed for it. Repeated rows repeat each other's
+    strings and passages; a null text is empty; texts shorter than ``length`` lose nothing. Ids may be null; other columns aren't read; an
     empty table gives an empty result.
     """
     text = common.text_of(text_col)
+    least = min(length, 2 * passage - 1)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
-    copies = rows.where(F.col("n_bytes") >= length).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("n_bytes").alias("n_removed")).where("n > 1").drop("n")
-    copies = copies.withColumns({"n_spans": F.lit(1).cast("long"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest())})
+    copies = rows.where(F.col("n_bytes") >= least).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("n_bytes").alias("n_bytes")).where("n > 1")
+    copies = common.materialize(copies)
+    whole = copies.where(F.col("n_bytes") >= length).select("k1", "k2", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
     parts = cut(find_repeats(docs, text_col, length), length).drop("spans", "kept").join(copies.select("k1", "k2"), ["k1", "k2"], "left_anti")
-    found = common.materialize(parts.unionByName(copies))
-    common.release_shuffles(docs.sparkSession)
-    d = rows.join(found, ["k1", "k2"], "left")
+    removed = common.materialize(parts.unionByName(whole))
+    copied = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), text.alias("text")).join(copies.select("k1", "k2"), ["k1", "k2"], "left_semi")
+    copied = copied.groupBy("k1", "k2").agg(F.max(common.n_words(F.col("text"))).alias("n_passage_words")).where(F.col("n_passage_words") >= passage)
+    passages = find_passages(docs, text_col, passage).join(copies.select("k1", "k2"), ["k1", "k2"], "left_anti").unionByName(copied)
+    found = common.materialize(removed.join(passages, ["k1", "k2"], "full"))
+    counted = copies.select("k1", "k2", "n")
     zero = F.lit(0).cast("long")
-    return d.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    d = common.spread_join(rows, found, ["k1", "k2"], counted, how="left")
+    return d.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("n_passage_words", zero).alias("n_passage_words"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,11 +87,12 @@ def test_tree_links_connect_what_is_near(values, radius):
     assert all((a ^ b).bit_count() <= radius for a, b in edges) and len(edges) <= 2 * len(values)
 
 
-def test_many_trees_for_one_shard(spark):
+@pytest.mark.parametrize("refinements", [0, 1, 2])
+def test_many_trees_for_one_shard(spark, refinements):
     rng = random.Random(2)
     fps = sorted({sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for _ in range(600)})
     nodes = common.materialize(spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long"))
-    edges = simhash.links(nodes, shard=50)
+    edges = simhash.links(nodes, shard=50, refinements=refinements)
     assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 3 for r in edges.collect())
     root = {r.node & (1 << 64) - 1: r.root for r in components.components(edges).collect()}
     label = groups(fps)
@@ -108,7 +109,33 @@ def test_shard_keys_meet(spark, blocks):
         y = x ^ sum(1 << b for b in rng.sample(range(64), 3))
         pairs.append(tuple(v - (1 << 64) if v >> 63 else v for v in (x, y)))
     d = spark.createDataFrame(pairs, "a long, b long")
-    assert d.where(F.arrays_overlap(simhash.shard_keys(F.col("a"), blocks), simhash.shard_keys(F.col("b"), blocks))).count() == 200
+    masks = simhash.shard_masks(blocks)
+    assert d.where(F.arrays_overlap(simhash.shard_keys(F.col("a"), masks), simhash.shard_keys(F.col("b"), masks))).count() == 200
+    # whichever shard a pair shares, it shares one of its finer shards too
+    finer = simhash.refined_masks(masks)
+    for k, mask in enumerate(masks):
+        for x, y in pairs:
+            if not (x ^ y) & mask:
+                assert any(not (x ^ y) & m for m in finer[4 * k : 4 * k + 4])
+
+
+def test_spread_join_is_the_join(spark):
+    rows = common.materialize(spark.createDataFrame([("hot" if i % 3 else f"k{i % 40}", i) for i in range(6000)], "k string, v long"))
+    counted = common.materialize(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
+    table = counted.select("k", F.concat("k", F.lit("!")).alias("w")).where("k <> 'k3'")
+    assert {r.k for r in common.hot_keys(counted, ["k"]).collect()} == {"hot"}
+    for how in ("inner", "left"):
+        assert Counter(map(tuple, common.spread_join(rows, table, ["k"], counted, how=how).collect())) == Counter(map(tuple, rows.join(table, "k", how).collect()))
+    # as many hot keys as can be: the bound does not depend on the rows
+    many = spark.range(20_000).select(F.col("id").alias("k"), F.when(F.col("id") < 5000, 10**9).otherwise(1).alias("n"))
+    hot = common.hot_keys(many, ["k"])
+    assert hot.count() <= common.HOT_SHARE or hot.agg(F.sum("__salts")).first()[0] <= 2 * common.HOT_SHARE
+
+
+def test_a_hub(spark):
+    edges = spark.createDataFrame([(5, i) for i in range(100, 1500)] + [(i, 9000 + i) for i in range(100, 1500, 7)], "a long, b long")
+    got = {r.node: r.root for r in components.components(edges).collect()}
+    assert set(got.values()) == {5} and len(got) == 1 + 1400 + 200
 
 
 def test_long_chain(spark):
@@ -170,10 +197,60 @@ def by_hand(texts, length):
     return out
 
 
-def check(spark, texts, length=400):
+def words_by_hand(texts, passage):
+    """Words in windows that another row has too."""
+    words = [re.findall(common.WORD, t or "") for t in texts]
+    rows = {}
+    for i, w in enumerate(words):
+        for p in range(len(w) - passage + 1):
+            rows.setdefault(tuple(w[p : p + passage]), set()).add(i)
+    out = []
+    for w in words:
+        shared = set()
+        for p in range(len(w) - passage + 1):
+            if len(rows[tuple(w[p : p + passage])]) > 1:
+                shared.update(range(p, p + passage))
+        out.append(len(shared))
+    return out
+
+
+def check(spark, texts, length=400, passage=51):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs, length=length).collect()}
-    assert got == dict(enumerate(by_hand(texts, length)))
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs, length=length, passage=passage).collect()}
+    assert got == dict(enumerate((*h, w) for h, w in zip(by_hand(texts, length), words_by_hand(texts, passage), strict=True)))
+
+
+def test_passages_of_words(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "FLUSH", 50)  # many flushes a task
+    d = suffix_dedup.WORD_COVER
+    assert {(a - b) % suffix_dedup.WORD_V for a in d for b in d} == set(range(suffix_dedup.WORD_V))
+    rng = random.Random(8)
+    text = lambda n: [rng.choice(["a", "bc", "def", "ghij", "klmno", "é", "12"]) for _ in range(n)]
+    p = [text(n) for n in (50, 51, 52, 60, 120)]
+    texts = [" ".join(text(rng.randrange(120)) + p[i % 5] + text(rng.randrange(90))) for i in range(30)]
+    texts += [" ".join(p[1]), "\t\n ".join(p[3]), " ".join(p[4] * 3), " ".join(["the"] * 70), " ".join(["the"] * 90), " ".join(text(60) * 2), " ".join(["solo"] * 200), None, "", " " * 300]
+    texts += [" ".join(p[2] + text(30))] * 3 + [" ".join(text(80))] * 2 + ["x" * 500 + " " + " ".join(p[1])]
+    check(spark, texts)
+    check(spark, texts, passage=31)
+
+
+def test_passages_under_the_length(spark, sf):
+    """Passages of over 50 words and under 400 bytes in otherwise unlike documents: each is caught, and no other document."""
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").dropna()
+    before = {r.doc_id: r.n_passage_words for r in suffix_dedup.remove_repeats(docs).select("doc_id", "n_passage_words").collect()}
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    planted = rng.sample(sorted(i for i, n in before.items() if not n), 20)
+    for k in range(0, 20, 2):
+        passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(51 + k // 2))
+        assert len(passage) < 400
+        for i in planted[k : k + 2]:
+            w = rows[i].split(" ")
+            at = rng.randrange(len(w) + 1)
+            rows[i] = " ".join([*w[:at], passage, *w[at:]])
+    after = {r.doc_id: r.n_passage_words for r in suffix_dedup.remove_repeats(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).select("doc_id", "n_passage_words").collect()}
+    assert all(after[i] >= 51 for i in planted)
+    assert {i for i, n in after.items() if n} - set(planted) == {i for i, n in before.items() if n}
 
 
 def test_cover():
@@ -203,7 +280,8 @@ def test_shorter_length_and_odd_rows(spark, odd, empty):
     check(spark, ["ab" * 300, "q" * 350, "q" * 320 + "r" * 320, "r" * 305 + "s"], 305)
     got = Counter(tuple(r) for r in suffix_dedup.remove_repeats(odd).collect())
     rows = odd.select("doc_id", "text").collect()
-    assert got == Counter((r.doc_id, *h) for r, h in zip(rows, by_hand([r.text for r in rows], 400), strict=True))
+    texts = [r.text for r in rows]
+    assert got == Counter((r.doc_id, *h, w) for r, h, w in zip(rows, by_hand(texts, 400), words_by_hand(texts, 51), strict=True))
     assert suffix_dedup.remove_repeats(empty).count() == 0
     with pytest.raises(ValueError):
         suffix_dedup.remove_repeats(odd, length=300)
