@@ -1,9 +1,10 @@
 """Operator 10: quality rules with cross-document line frequency, in DataFrame functions only.
 
-A line that many documents of one host share is boilerplate there. Each host's frequent lines are found from
-hashes of normalised lines, one for each document and distinct line, and summed before they are exchanged. The
-frequent lines, at most about (lines of a document) / ``share`` for a host, go back to the documents as one array
-for each host, so that texts are never exchanged while that table is small enough for Spark to broadcast.
+A line that many documents of one host share is boilerplate there. One scan of the texts writes the facts of each document: its base counts,
+and a hash and the number of words of each normalised line. Lines are counted from these, one for each document and distinct line,
+summed before they are exchanged. The frequent lines then meet the facts: while they are few, by a broadcast
+of each host's; else by a join on (host, line), in which the rows of a hot line are dealt to several tasks, and whose findings, one row for a document, go back
+by the document's number. Texts are never exchanged by host.
 """
 
 from __future__ import annotations
@@ -17,13 +18,19 @@ from . import common
 SHARE, LEAST_DOCS = 0.1, 5
 #: A document is depleted if fewer words than this, or less than this share of its words, remain.
 LEAST_WORDS, LEAST_SHARE = 10, 0.3
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
+#: Up to so many frequent lines are broadcast.
+BROADCAST_LINES = 1 << 17
 
 
 def normalised(line: Column) -> Column:
-    """Lower case, white space runs as one space, none at the ends."""
-    return F.lower(F.regexp_replace(F.btrim(line, F.lit(common.SPACE_CHARS)), rf"[{common.SPACE}]+", " "))
+    """Lower case, white space runs as one space, none at the ends. Most lines have single spaces only, and need no pattern."""
+    plain = F.btrim(line, F.lit(common.SPACE_CHARS))
+    uneven = line.contains("  ")
+    for c in common.SPACE_CHARS[1:]:
+        uneven = uneven | line.contains(c)
+    return F.lower(F.when(uneven, F.regexp_replace(plain, rf"[{common.SPACE}]+", " ")).otherwise(plain))
 
 
 def host_key(col: str) -> Column:
@@ -31,23 +38,17 @@ def host_key(col: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit(""))
 
 
-def lines_with_words(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(common.SPACE_CHARS)) != "")
-
-
-def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", share: float = SHARE, least_docs: int = LEAST_DOCS, distinct_texts: bool = False) -> DataFrame:
-    """``host, frequent``: for each host that has any, the hashes of lines that are in too many of its documents.
+def frequent_lines(facts: DataFrame, share: float = SHARE, least_docs: int = LEAST_DOCS, distinct_texts: bool = False) -> DataFrame:
+    """``host, h, docs``: the lines that are in too many documents of their host, and in how many.
 
     With ``distinct_texts``, copies of a text in a host count as one document, in the lines' counts and in the limit.
     """
-    d = docs.select(host_key(host_col).alias("host"), common.text_of(text_col).alias("text"))
-    hashes = F.array_distinct(F.transform(lines_with_words(F.col("text")), lambda x: F.xxhash64(normalised(x))))
-    d = d.select("host", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), hashes.alias("hashes"))
+    d = facts.select("host", "k1", "k2", F.array_compact(F.array_distinct("lines.h")).alias("hashes"))
     if distinct_texts:
         d = d.dropDuplicates(["host", "k1", "k2"])
     counts = d.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"))
     limits = d.groupBy("host").agg(F.greatest(F.lit(float(least_docs)), F.count(F.lit(1)) * share).alias("most"))
-    return counts.where(F.col("docs") > least_docs).join(limits, "host").where(F.col("docs") > F.col("most")).groupBy("host").agg(F.collect_list("h").alias("frequent"))
+    return counts.where(F.col("docs") > least_docs).join(limits, "host").where(F.col("docs") > F.col("most")).select("host", "h", "docs")
 
 
 def repeated_words(d: DataFrame, words: str, out: str) -> DataFrame:
@@ -71,49 +72,82 @@ def repeated_words(d: DataFrame, words: str, out: str) -> DataFrame:
     return d.withColumn(out, F.coalesce(F.aggregate("__at", zero, step)["n"], F.lit(0)).cast("long")).drop("__at")
 
 
-def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), share: float = SHARE, least_docs: int = LEAST_DOCS, distinct_texts: bool = False) -> DataFrame:
-    """The columns ``keep``, the base counts, ``n_removed_words``, ``kept`` and ``cleaned``, the text without frequent lines.
+def facts(docs: DataFrame, host_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+    """``uid, host, k1, k2``, the columns ``keep`` (as __keep_ and the name), base counts and ``lines``, an array of (h, n): hash (null without words) and words.
 
-    A null text counts as empty; it has no words and fails. Documents whose host is null are one host. Repeated rows are
-    documents of their own, and count as such unless ``distinct_texts`` is set (see frequent_lines()). No other columns are read; an empty table gives an empty result.
-    Reads ``docs`` twice.
+    Written; ``uid`` numbers the rows. One scan of the texts; ``with_text`` carries them along.
     """
-    frequent = common.materialize(frequent_lines(docs, host_col, text_col, share, least_docs, distinct_texts))
-    d = docs.select(*[F.col(c).alias(f"__keep_{c}") for c in keep], host_key(host_col).alias("host"), common.text_of(text_col).alias("__text"))
-    d = d.join(frequent, "host", "left").drop("host")
     text = F.col("__text")
-    d = d.withColumn("__words", F.when(F.btrim(text, F.lit(common.SPACE_CHARS)) == "", F.array().cast("array<string>")).otherwise(F.split(F.btrim(text, F.lit(common.SPACE_CHARS)), rf"[{common.SPACE}]+")))
-    d = d.withColumn("n_words", F.size("__words").cast("long"))
+    d = docs.select(F.monotonically_increasing_id().alias("uid"), *[F.col(c).alias(f"__keep_{c}") for c in keep], host_key(host_col).alias("host"), common.text_of(text_col).alias("__text"))
+    trimmed = F.btrim(text, F.lit(common.SPACE_CHARS))
+    d = d.withColumn("__words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, rf"[{common.SPACE}]+")))
+    d = d.withColumns({"n_words": F.size("__words").cast("long"), "word_chars": F.length(F.array_join("__words", "")).cast("long")})
     d = repeated_words(d, "__words", "n_repeat_words").drop("__words")
-    lines = lines_with_words(text)
+    d = d.withColumn("__lines", F.split(text, "\n"))
+    with_words = F.filter("__lines", lambda x: F.btrim(x, F.lit(common.SPACE_CHARS)) != "")
+    fact = lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"))).otherwise(F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("n")))
     d = d.withColumns(
         {
-            "word_chars": F.length(F.translate(text, common.SPACE_CHARS, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+            "n_dup_lines": (F.size(with_words) - F.size(F.array_distinct(with_words))).cast("long"),
+            "lines": F.transform(F.transform("__lines", normalised), fact),
+            "k1": F.xxhash64(text),
+            "k2": F.xxhash64(text, F.lit(1)),
         }
     )
-    rest = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("frequent"), F.xxhash64(normalised(x))))
-    d = d.withColumn("cleaned", F.when(F.col("frequent").isNull(), text).otherwise(F.array_join(rest, "\n"))).drop("frequent")
-    d = d.withColumn("n_removed_words", F.when(F.length("cleaned") == F.length("__text"), F.lit(0)).otherwise(F.col("n_words") - common.n_words(F.col("cleaned"))))
+    return common.materialize(d.select("uid", "host", "k1", "k2", *[f"`__keep_{c}`" for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", *["__text"] * with_text))
+
+
+def with_removed(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Adds ``removed``, the hashes of a document's frequent lines, to facts()'s rows. ``frequent`` is written."""
+    none = F.array().cast("array<bigint>")
+    if frequent.count() <= BROADCAST_LINES:
+        of_host = frequent.groupBy("host").agg(F.collect_list("h").alias("frequent"))
+        d = rows.join(F.broadcast(of_host), "host", "left")
+        return d.withColumn("removed", F.when(F.col("frequent").isNull(), none).otherwise(F.array_intersect("lines.h", "frequent"))).drop("frequent")
+    lines = rows.select("uid", "host", F.explode(F.array_compact(F.array_distinct("lines.h"))).alias("h"))
+    met = common.spread_join(lines, frequent.select("host", "h"), ["host", "h"], frequent, "docs")
+    return rows.join(met.groupBy("uid").agg(F.collect_list("h").alias("removed")), "uid", "left").withColumn("removed", F.coalesce("removed", none))
+
+
+def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), share: float = SHARE, least_docs: int = LEAST_DOCS, distinct_texts: bool = False, with_text: bool = False) -> DataFrame:
+    """The columns ``keep``, the base counts, ``n_removed_words``, ``kept`` and, ``with_text``, ``cleaned``: the text without frequent lines.
+
+    A null text counts as empty; it has no words and fails. Documents whose host is null are one host. Repeated rows are
+    documents of their own, and count as such unless ``distinct_texts`` is set (see frequent_lines()). No other columns are read; an empty table gives an empty result.
+    Reads ``docs`` once.
+    """
+    rows = facts(docs, host_col, text_col, keep, with_text)
+    frequent = common.materialize(frequent_lines(rows, share, least_docs, distinct_texts))
+    d = with_removed(rows, frequent)
+    gone = lambda x: F.array_contains(F.col("removed"), x["h"])
+    some = F.size("removed") > 0
+    n = F.when(some, F.aggregate("lines", F.lit(0), lambda a, x: a + F.when(gone(x), x["n"]).otherwise(0))).otherwise(0).cast("long")
+    d = d.withColumn("n_removed_words", n)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (left < LEAST_WORDS) | (left < LEAST_SHARE * F.col("n_words"))
-    out = [*[F.col(f"__keep_{c}").alias(c) for c in keep], *[F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), F.col("n_removed_words").cast("long").alias("n_removed_words"), (~failed & ~depleted).alias("kept"), F.col("cleaned")]
-    # a generator, through which no later filter is moved: moved below, it would repeat each step for each window
-    return d.select(F.inline(F.array(F.struct(*out))))
+    out = [*[F.col(f"`__keep_{c}`").alias(c) for c in keep], *[F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), F.col("n_removed_words"), (~failed & ~depleted).alias("kept")]
+    if with_text:
+        rest = F.filter(F.split("__text", "\n"), lambda x, i: ~F.coalesce(gone(F.get("lines", i)), F.lit(False)))
+        out.append(F.when(some, F.array_join(rest, "\n")).otherwise(F.col("__text")).alias("cleaned"))
+    return d.select(*out)
 
 
 def passing_documents(docs: DataFrame, host_col: str = "source", text_col: str = "text", distinct_texts: bool = False) -> DataFrame:
-    """The rows of ``docs`` that judge() keeps, all columns, with their frequent lines removed."""
+    """The rows of ``docs`` that judge() keeps, all columns, with their frequent lines removed.
+
+    Null, empty and blank texts go, as they have too few words. Hosts and other columns may be null and have any names; repeated rows stay
+    repeated or go together; an empty table gives an empty result.
+    """
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(1).alias("none")]
     d = docs.select(F.struct(*others).alias("__row"), F.col(host_col).alias("__host"), F.col(text_col).alias("__text"))
-    d = judge(d, "__host", "__text", ("__row",), distinct_texts=distinct_texts).where("kept")
+    d = judge(d, "__host", "__text", ("__row",), distinct_texts=distinct_texts, with_text=True).where("kept")
     return d.select(*[F.col("cleaned" if c == text_col else f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(common.read(spark, sf_dir, "documents")).drop("cleaned")
+    return judge(common.read(spark, sf_dir, "documents"))
 
 
 OP10_SQL = r"""
