@@ -1,9 +1,9 @@
 """Operator 8: mixing sources to target weights, in DataFrame functions only.
 
 Each source is a stream of words: its documents one after the other, in an order of hashes. The stream is cut
-into blocks of ``block`` words. A source's target gives it a number of slots in the mix. Slots are dealt to output
-shards by independent uniform draws, so that the counts of a source over the shards are multinomial, given its
-total, which stays exact: no source misses its target by chance and none is repeated too often. A slot's number gives
+into blocks of ``block`` words. A source's target gives it a number of slots in the mix. How many of them each output
+shard has is drawn: a source's counts over the shards are multinomial, given its total, which stays exact, so no source misses its
+target by chance and none is repeated too often. The counts lay the slots out: a shard has a run of each source's slots. A slot's number gives
 an epoch and an index, and a pseudorandom permutation of the source's indices for that epoch gives the
 block. Blocks and slots are joined by (source, index); both are spread over all tasks, however large a source is.
 """
@@ -20,8 +20,9 @@ WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 #: Slots of one output shard, on average.
 SHARD_SLOTS = 1 << 14
-#: Primes above any block count: a multiple of each, and a shift, permutes the indices of a source.
-PRIMES = (2147483647, 2147483629, 2147483587)
+#: Rounds of a permutation; indices of a source at most.
+ROUNDS, MOST_BLOCKS = 32, 1 << 40
+#: Slots, or shards, that are handled as one row or window.
 CHUNK = 4096
 
 
@@ -48,29 +49,54 @@ def with_targets(keys: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     s = s.withColumn("n_blocks", n_blocks)
     slots = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size"))).otherwise(0.0)
     s = s.withColumn("n_slots", F.least(slots.cast("long"), F.col("n_blocks") * most))
-    fits = F.assert_true(F.col("n_blocks") < PRIMES[-1], F.lit("a source has too many blocks: take a larger block"))
+    fits = F.assert_true(F.col("n_blocks") < MOST_BLOCKS, F.lit("a source has too many blocks: take a larger block"))
     return s.where(fits.isNull()).drop("level", "stops")
 
 
-def permuted(i: Column, n: Column, source: Column, epoch: Column, seed: int) -> Column:
-    """The place of index i in the permutation of 0 to n - 1 of this source and epoch: two rounds of a prime's multiple and a shift."""
-    for k in range(2):
-        prime = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(F.xxhash64(source, epoch, F.lit(seed), F.lit(k)), F.lit(len(PRIMES))) + 1).cast("int"))
-        shift = F.pmod(F.xxhash64(source, F.lit(seed), epoch, F.lit(k + 7)), n)
-        i = F.pmod(i * F.pmod(prime, n) + shift, n)
-    return i
+def round_keys(n: Column, source: Column, seed: int) -> Column:
+    """For each round of a source's permutation of 0 to n - 1: the sum of the places that it may exchange, and a salt."""
+    keyed = lambda r: F.struct(F.pmod(F.xxhash64(source, F.lit(seed), r), n).alias("sum"), F.xxhash64(source, F.lit(seed), r, F.lit(1)).alias("salt"))
+    return F.transform(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), keyed)
 
 
-def draw_slots(sources: DataFrame, seed: int = 42, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """``shard, source, slot, epoch, block``: all slots of the mix, from the rows of with_targets()."""
+def permuted(i: Column, n: Column, keys: Column, epoch: Column) -> Column:
+    """The place of index i in the permutation of 0 to n - 1 by ``keys`` (see round_keys()) and epoch.
+
+    Swap or not: in each round, two places whose sum is the round's change places or stay, by a hash of the larger. Every round is a
+    permutation of exactly 0 to n - 1, whatever n is, and neighbours go separate ways.
+    """
+
+    def swap_or_not(x: Column, key: Column) -> Column:
+        other = F.pmod(key["sum"] - x, n)
+        return F.when(F.xxhash64(F.greatest(x, other), epoch, key["salt"]).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
+
+    return F.aggregate(keys, i.cast("long"), swap_or_not)
+
+
+def draw_counts(sources: DataFrame, seed: int = 42, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """``source, n_blocks, shard, count, first``: the slots of each source that each shard has, drawn, and the slots of shards before it.
+
+    Each of a source's slots falls on a shard by a uniform draw, so its counts are multinomial. ``sources`` has the rows of with_targets().
+    """
     d = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("n_slots").over(Window.partitionBy()) / shard_slots)).cast("long")).where("n_slots > 0")
     d = d.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK).cast("long")))).repartition("source", "chunk")
-    d = d.withColumn("slot", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("chunk") * CHUNK + CHUNK, F.col("n_slots")) - 1)))
+    d = d.withColumn("ball", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("chunk") * CHUNK + CHUNK, F.col("n_slots")) - 1)))
+    counts = d.select("source", "n_blocks", F.pmod(F.xxhash64("source", "ball", F.lit(seed)), F.col("shards")).alias("shard"))
+    counts = counts.groupBy("source", "n_blocks", "shard").agg(F.count(F.lit(1)).alias("count")).withColumn("part", F.floor(F.col("shard") / CHUNK))
+    sums = counts.groupBy("source", "part").agg(F.sum("count").alias("__n"))
+    base = sums.select(F.col("source").alias("__s"), F.col("part").alias("__p"), (F.sum("__n").over(Window.partitionBy("source").orderBy("part")) - F.col("__n")).alias("__base"))
+    within = F.sum("count").over(Window.partitionBy("source", "part").orderBy("shard")) - F.col("count")
+    counts = counts.withColumn("__in", within).join(base, F.col("source").eqNullSafe(F.col("__s")) & (F.col("part") == F.col("__p")))
+    return counts.select("source", "n_blocks", "shard", "count", (F.col("__base") + F.col("__in")).alias("first"))
+
+
+def draw_slots(sources: DataFrame, seed: int = 42, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """``shard, source, slot, epoch, block``: all slots of the mix, as draw_counts() lays them out."""
+    d = draw_counts(sources, seed, shard_slots).repartition("source", "shard").withColumn("__keys", round_keys(F.col("n_blocks"), F.col("source"), seed))
+    d = d.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
     d = d.withColumn("epoch", F.floor(F.col("slot") / F.col("n_blocks")).cast("long"))
     index = F.col("slot") - F.col("epoch") * F.col("n_blocks")
-    d = d.withColumn("block", permuted(index, F.col("n_blocks"), F.col("source"), F.col("epoch"), seed))
-    shard = F.pmod(F.xxhash64(F.col("source"), F.col("slot"), F.lit(seed)), F.col("shards"))
-    return d.select(shard.alias("shard"), "source", "slot", "epoch", "block")
+    return d.select("shard", "source", "slot", "epoch", permuted(index, F.col("n_blocks"), F.col("__keys"), F.col("epoch")).alias("block"))
 
 
 def cut_blocks(keys: DataFrame, block: int = BLOCK, seed: int = 42) -> DataFrame:
@@ -102,27 +128,30 @@ def keys_of(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     return common.materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), common.n_words(common.text_of(text_col)).alias("size")))
 
 
-def taken_words(keys: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, block: int = BLOCK, seed: int = 42) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for each row of ``keys``.
+def taken_words(keys: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, block: int = BLOCK, seed: int = 42, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, first_shard, last_shard`` for each row of ``keys``.
 
+    The shards are the first and the last that has words of the document, null if none has.
     Rows whose source is null are a source; documents without words and sources without words take none; repeated rows
     are documents of their own. An empty table gives an empty result. A rerun over the same rows draws the same mix.
     """
     sources = common.materialize(with_targets(keys, weights, most, block))
-    copies = draw_slots(sources, seed).groupBy("source", "block").agg(F.count(F.lit(1)).alias("copies"))
+    copies = draw_slots(sources, seed, shard_slots).groupBy("source", "block").agg(F.count(F.lit(1)).alias("copies"), F.min("shard").alias("lo"), F.max("shard").alias("hi"))
     pieces = cut_blocks(keys, block, seed)
     # slots come of a few rows by explode, which Spark takes for a small table: without the hint it would broadcast them all
-    taken = pieces.join(copies.hint("merge"), same_block(pieces, copies), "left").groupBy(pieces["uid"]).agg(F.sum(F.coalesce(F.col("words") * F.col("copies"), F.lit(0))).alias("taken"))
+    taken = pieces.join(copies.hint("merge"), same_block(pieces, copies), "left").groupBy(pieces["uid"]).agg(F.sum(F.coalesce(F.col("words") * F.col("copies"), F.lit(0))).alias("taken"), F.min("lo").alias("first_shard"), F.max("hi").alias("last_shard"))
     with_size = keys.join(sources, keys["source"].eqNullSafe(sources["source"]))
     rows = with_size.select("uid", "doc_id", "size", "source_size", "target")
-    return rows.join(taken, "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(taken, "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard", "last_shard")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, block: int = BLOCK, seed: int = 42) -> DataFrame:
     """The mix as rows of ``docs``, all columns: for each document and epoch, the part of its text that the mix takes.
 
     A text taken whole stays as it is. Of others, each taken stretch keeps its own white space, and stretches are joined by line
-    ends. A document of which nothing is taken has no row; one that is repeated has up to ``most``.
+    ends. A document of which nothing is taken (among them null, empty and blank texts) has no row; one that is repeated has up to ``most``.
+    Rows whose source is null are a source; ids and other columns may be null; repeated rows are documents of their own; an empty table gives
+    an empty result.
     """
     d = common.with_row(docs)
     keys = common.materialize(d.select(F.col("__row").alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), common.n_words(common.text_of(text_col)).alias("size")))
