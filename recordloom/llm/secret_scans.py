@@ -2,8 +2,8 @@
 
 Each kind's pattern marks its matches in the text; cutting at the marks gives the matches' places. Values found by
 the base kinds, and other live-looking tokens, are candidates. Their hashes are counted by distinct repositories and owners over
-the whole corpus, with sums before each exchange. A value under many owners is a widely copied example; one under few
-is specific to them. Live-looking tokens that are owner-specific become spans of the kind ``owned``.
+the whole corpus, with sums before each exchange. A value under many owners, or in many repositories, is a widely copied example; any other
+is specific to its owners. Live-looking tokens that are owner-specific become spans of the kind ``owned``.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 #: A live-looking token: so many characters, three letters and three digits at least.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
-#: From so many owners on, a value is a widely copied example.
-EXAMPLE_OWNERS = 4
+#: From so many owners on, or so many repositories, a value is a widely copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 4, 6
 MARK, ELSE = "\x01", "\x02"
 SHIFT = 1 << 31
 
@@ -88,24 +88,27 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 
 def ownership(cands: DataFrame) -> DataFrame:
-    """``h, owners, repos``: the distinct owners and repositories of each candidate hash."""
-    by_repo = cands.groupBy("h", "owner", "repo").agg(F.lit(1).alias("one"))
-    by_owner = by_repo.groupBy("h", "owner").agg(F.count("one").alias("repos"))
-    return by_owner.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
+    """``h, owners, repos, n``: the distinct owners and repositories of each candidate hash, and its occurrences."""
+    by_repo = cands.groupBy("h", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
+    by_owner = by_repo.groupBy("h", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
+    return by_owner.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("lang",), example_owners: int = EXAMPLE_OWNERS, row_col: str | None = None) -> DataFrame:
-    """For each row ``uid`` (row_col), ``doc_id``, the base counts and digest, ``spans``, and how many of its spans' values are live or examples.
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("lang",), example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS, row_col: str | None = None) -> DataFrame:
+    """For each row ``uid`` (row_col), ``doc_id``, the base counts and digest, ``spans``, how many of its base spans' values are live or
+    examples, and the owners and repositories of the most widespread candidate in it (zero without any).
 
     A null text is empty and has no spans. Rows with a null owner have one owner, so have rows with a null repository.
     Repeated rows are rows of their own, of one owner. Other columns aren't read. An empty table gives an empty result.
     """
     rows = common.materialize(scan(docs, id_col, text_col, owner_col, repo_cols, row_col))
-    cands = candidates(rows)
-    judged = cands.join(ownership(cands), "h")
-    live = F.col("owners") < example_owners
+    cands = common.materialize(candidates(rows))
+    owned = common.materialize(ownership(cands))
+    # a value that a third of all documents hold is judged in several tasks
+    judged = common.spread_join(cands, owned.drop("n"), ["h"], owned)
+    live = (F.col("owners") < example_owners) & (F.col("repos") < example_repos)
     added = F.collect_list(F.when(live & (F.col("kind") == 3), F.struct("start", "kind", "end")))
-    by_doc = judged.groupBy("uid").agg(added.alias("added"), F.sum((live & (F.col("kind") < 3)).cast("long")).alias("live"), F.sum((~live & (F.col("kind") < 3)).cast("long")).alias("examples"))
+    by_doc = judged.groupBy("uid").agg(added.alias("added"), F.sum((live & (F.col("kind") < 3)).cast("long")).alias("live"), F.sum((~live & (F.col("kind") < 3)).cast("long")).alias("examples"), F.max("owners").alias("owners"), F.max("repos").alias("repos"))
     d = rows.join(by_doc, "uid", "left")
     base = F.concat(of_kind("assign", 0), of_kind("access", 1), of_kind("hex", 2))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
@@ -113,6 +116,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "uid", "doc_id", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"),
         F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.concat(base, F.coalesce("added", none))).alias("spans"),
         F.coalesce("live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("examples", F.lit(0)).cast("long").alias("n_examples"),
+        F.coalesce("owners", F.lit(0)).cast("long").alias("most_owners"), F.coalesce("repos", F.lit(0)).cast("long").alias("most_repos"),
     )
 
 
@@ -130,7 +134,11 @@ def redact(text: Column, spans: Column, by: str = "<SECRET>") -> Column:
 
 
 def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("lang",)) -> DataFrame:
-    """The rows of ``docs``, all columns, with every span of find_secrets() replaced in the text."""
+    """The rows of ``docs``, all columns, with every span of find_secrets() replaced in the text.
+
+    Null, empty and very long texts, and texts without spans, stay as they are or lose their spans alone; ids, owners and other columns may be null and
+    have any names; repeated rows stay repeated; an empty table gives an empty result.
+    """
     d = common.with_row(docs)
     spans = find_secrets(d, id_col, text_col, owner_col, repo_cols, row_col="__row").where("spans <> ''")
     spans = common.materialize(spans.select(F.col("uid").alias("__row"), F.col("spans").alias("__spans")))
@@ -156,7 +164,7 @@ def _kind_sql(name: str, pattern: str, good: str, value: str = "x") -> str:
 
 #: Runs are whole in an engine whose patterns look for the leftmost longest one, so no look behind is needed.
 OP2_SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS owner, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS owner, coalesce('=' || lang, '') AS repo, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
 {_kind_sql("a", ASSIGN, "length(regexp_extract(x, 'PATTERN', 2)) >= 6", "regexp_extract(x, 'PATTERN', 2)")},
 {_kind_sql("k", ACCESS, "length(x) >= 20")},
 {_kind_sql("h", HEX, "length(x) >= 24")},
@@ -165,15 +173,16 @@ base AS (
   SELECT rid, s, e, v, 0 AS kind, e - length(v) AS vs FROM a UNION ALL SELECT rid, s, e, v, 1, s FROM k UNION ALL SELECT rid, s, e, v, 2, s FROM h
 ), c AS (
   SELECT rid, s, e, v, kind FROM base UNION ALL SELECT rid, s, e, v, 3 FROM o WHERE NOT EXISTS (FROM base b WHERE b.rid = o.rid AND b.vs = o.s AND b.e = o.e)
-), w AS (SELECT v, count(DISTINCT owner) AS owners FROM c JOIN d USING (rid) GROUP BY v
-), j AS (SELECT c.*, owners, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s || ':' || e AS span FROM c JOIN w USING (v)
+), w AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos FROM c JOIN d USING (rid) GROUP BY v
+), j AS (SELECT c.*, owners, repos, owners < {EXAMPLE_OWNERS} AND repos < {EXAMPLE_REPOS} AS owned, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s || ':' || e AS span FROM c JOIN w USING (v)
 ), g AS (
   SELECT rid, count(*) FILTER (kind = 0) AS na, count(*) FILTER (kind = 1) AS nk, count(*) FILTER (kind = 2) AS nh,
-    string_agg(span, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind, e) FILTER (kind < 3 OR owners < {EXAMPLE_OWNERS}) AS spans,
-    count(*) FILTER (kind < 3 AND owners < {EXAMPLE_OWNERS}) AS live, count(*) FILTER (kind < 3 AND owners >= {EXAMPLE_OWNERS}) AS examples
+    string_agg(span, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind, e) FILTER (kind < 3 OR owned) AS spans,
+    count(*) FILTER (kind < 3 AND owned) AS live, count(*) FILTER (kind < 3 AND NOT owned) AS examples,
+    max(owners) AS most_owners, max(repos) AS most_repos
   FROM j GROUP BY rid
 )
 SELECT doc_id, coalesce(na, 0) AS n_assign, coalesce(nk, 0) AS n_access, coalesce(nh, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  coalesce(live, 0) AS n_live, coalesce(examples, 0) AS n_examples
+  coalesce(live, 0) AS n_live, coalesce(examples, 0) AS n_examples, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
 FROM d LEFT JOIN g USING (rid)
 """
