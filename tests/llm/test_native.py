@@ -39,17 +39,28 @@ def test_quality_base(odd):
     assert got == want
 
 
-def test_frequent_lines_go(spark):
+@pytest.mark.parametrize("most", [quality_rules.BROADCAST_LINES, 0])
+def test_frequent_lines_go(spark, monkeypatch, most):
+    monkeypatch.setattr(quality_rules, "BROADCAST_LINES", most)  # broadcast, or joined
     body = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
     rows = [(i, f"Subscribe  NOW to us\n{body(i)}", "site") for i in range(40)] + [(100, "subscribe now to us\n" + "subscribe now to us " * 2 + "a b c d", "site"), (101, "Subscribe NOW to us\n" + body(101), "other")]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: r for r in quality_rules.judge(d).collect()}
+    got = {r.doc_id: r for r in quality_rules.judge(d, with_text=True).collect()}
     assert all(got[i].kept and got[i].cleaned == body(i) and got[i].n_removed_words == 4 for i in range(40))
     assert not got[100].kept  # 8 words left, of 16
     assert got[101].kept and got[101].n_removed_words == 0
     assert quality_rules.passing_documents(d.withColumn("kept", F.lit(1))).count() == 41
 
 
+def test_joined_lines_give_the_same_rows_as_broadcast_ones(spark, sf, odd, monkeypatch):
+    docs = [common.read(spark, sf, "documents"), odd]
+    known = [Counter(map(tuple, quality_rules.judge(d, with_text=True).collect())) for d in docs]
+    monkeypatch.setattr(quality_rules, "BROADCAST_LINES", 0)
+    assert [Counter(map(tuple, quality_rules.judge(d, with_text=True).collect())) for d in docs] == known
+    # the query's facts hold no texts, so none is exchanged however many lines are frequent
+    assert "__text" not in quality_rules.facts(docs[0]).columns
+
+
 # ---------------------------------------------------------------- secrets
 
 
@@ -89,6 +100,15 @@ def test_ownership(spark):
     assert texts[1] == "see <SECRET> here \x01 x" and texts[10] == f"example {shared} é" and texts[20] == "<SECRET>"
 
 
+def test_many_repositories_of_few_owners(spark):
+    spread, hot = "Qw81kQ92mmP04aaBcD77e", "Hh12Cd34Ef56Gh78Ij90K"
+    rows = [(i, f"see {spread} here", f"s{i % 2}", f"l{i}") for i in range(6)] + [(100 + i, f"my {hot} x", "s0", "en") for i in range(2000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in secret_scans.find_secrets(d).collect()}
+    assert all(got[i].spans == "" and (got[i].most_owners, got[i].most_repos) == (2, 6) for i in range(6))
+    assert all(got[100 + i].spans == f"owned:3:{3 + len(hot)}" and got[100 + i].most_repos == 1 for i in range(2000))
+
+
 # ---------------------------------------------------------------- sharding
 
 
@@ -181,10 +201,49 @@ def test_mixed_texts(spark, sf):
     assert words == Counter({d: n for d, n in taken.items() if n})
 
 
-def test_permutations(spark):
-    d = spark.range(997).select(*[mixing.permuted(F.col("id"), F.lit(997).cast("long"), F.lit("s"), F.lit(e).cast("long"), 42).alias(f"e{e}") for e in range(3)]).collect()
-    cols = [[r[f"e{e}"] for r in d] for e in range(3)]
-    assert all(sorted(c) == list(range(997)) for c in cols) and len({tuple(c) for c in cols}) == 3
+@pytest.mark.parametrize("n", [1, 2, 3, 64, 997, 20_000])
+def test_permutations(spark, n):
+    size = F.lit(n).cast("long")
+    d = spark.range(n).withColumn("keys", mixing.round_keys(size, F.lit("s"), 42))
+    rows = d.select(*[mixing.permuted(F.col("id"), size, F.col("keys"), F.lit(e).cast("long")).alias(f"e{e}") for e in range(3)]).collect()
+    cols = [[r[f"e{e}"] for r in rows] for e in range(3)]
+    assert all(sorted(c) == list(range(n)) for c in cols)
+    if n >= 997:
+        assert len({tuple(c) for c in cols}) == 3
+        for c in cols:
+            strides = Counter((b - a) % n for a, b in zip(c[:-1], c[1:], strict=True))
+            assert strides.most_common(1)[0][1] <= 12 and len(strides) > 0.5 * n  # neighbours keep no stride
+            thirds = Counter((3 * i // n, 3 * x // n) for i, x in enumerate(c))
+            assert all(abs(k - n / 9) < 6 * (n / 9) ** 0.5 for k in thirds.values())
+
+
+def test_counts_of_sources_over_shards(spark):
+    """The drawn counts add up to each source's slots, spread as draws do, and the slots are laid out by them."""
+    sizes = [("a", 640_000), ("b", 64_000), (None, 6400), ("d", 64)]
+    keys = spark.createDataFrame([(s, n) for s, n in sizes], "source string, size long")
+    sources = mixing.with_targets(keys).cache()
+    slots = {r.source: r.n_slots for r in sources.collect()}
+    counts = [r.asDict() for r in mixing.draw_counts(sources, shard_slots=500).collect()]
+    rows = mixing.draw_slots(sources, shard_slots=500).collect()
+    shards = -(-sum(slots.values()) // 500)
+    by = Counter()
+    for c in counts:
+        by[c["source"]] += c["count"]
+    assert by == Counter(slots)
+    assert Counter((r.source, r.shard) for r in rows) == Counter({(c["source"], c["shard"]): c["count"] for c in counts})
+    for s, n in slots.items():
+        mine = sorted((r.slot, r.shard, r.epoch, r.block) for r in rows if r.source == s)
+        assert [x[0] for x in mine] == list(range(n)) and [x[1] for x in mine] == sorted(x[1] for x in mine)
+        blocks = Counter(x[3] for x in mine)
+        assert max(blocks.values()) <= 3 and max(blocks.values()) - min(blocks.values()) <= 1 or len(blocks) < -(-dict(sizes)[s] // 64)
+    big = [c["count"] for c in counts if c["source"] == "a"]
+    mean = slots["a"] / shards
+    chi2 = sum((x - mean) ** 2 / mean for x in big)
+    assert len(big) == shards and 0.4 * shards < chi2 < 2 * shards  # neither equal shares nor clumps
+    again = mixing.draw_slots(sources, shard_slots=500).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
+    other = mixing.draw_slots(sources, seed=7, shard_slots=500).collect()
+    assert Counter(map(tuple, other)) != Counter(map(tuple, rows))
 
 
 def test_nothing(empty):
