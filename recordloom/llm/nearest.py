@@ -81,7 +81,11 @@ def build_index(rows: DataFrame, dim: int, center: list[float], seed: int = SEED
 
 
 def search(index: DataFrame, dim: int, center: list[float], ids: list[int], vectors: list[list[float]], k: int, epsilon: float = EPSILON, seed: int = SEED) -> DataFrame:
-    """``query_id, vec_id, score``: each task's best k for each query of a block."""
+    """``query_id, vec_id, score``: each task's best k for each query of a block.
+
+    ``index`` has rows of one dimension without nulls, as build_index() writes them; its ids may be null or repeated, and tie by the smaller.
+    ``ids`` and ``vectors`` are one bounded block; an empty index gives no rows.
+    """
     block = index.sparkSession.sparkContext.broadcast((ids, vectors))
 
     def scan(batches):
@@ -162,7 +166,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int | None
             if blocks == 1:
                 return ranked
             ranked.write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return common.read_work(spark, path, schema)
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

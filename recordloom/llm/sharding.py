@@ -1,10 +1,10 @@
 """Operator 7: sharding by histogram sort, in DataFrame functions only.
 
 Rows are ordered by a key: the hash of the text, so that equal texts are neighbours, then the hash of the row's
-id. Splitters are found without a sort: each round counts the exact bytes between probes, in one pass over narrow
+id, then the row's own number. Splitters are found without a sort: each round counts the exact bytes between probes, in one pass over narrow
 written keys with sums before the exchange, and places new probes in the interval that holds each target,
 until the bytes below every splitter are within the tolerance. Where all bytes of an interval are of one text, the
-second part of the key splits its copies. Then the rows are exchanged once.
+second part of the key splits its copies, and where they are of one id too, the third. Then the rows are exchanged once.
 """
 
 from __future__ import annotations
@@ -70,46 +70,58 @@ def _refine(keys: DataFrame, key: str, splitters: list[Splitter], tolerance: flo
                 below += r.bytes
 
 
-def find_splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE, group_tolerance: float = GROUP_TOLERANCE, probes: int = PROBES) -> list[tuple[int, int]]:
-    """``shards - 1`` boundaries (first, second), ascending: a row is above one if (k1, k2) >= (first, second)."""
+def find_splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE, group_tolerance: float = GROUP_TOLERANCE, probes: int = PROBES) -> list[tuple[int, ...]]:
+    """``shards - 1`` boundaries, ascending: a row is above one if (k1, k2, k3) >= it."""
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
     if not total:
-        return [(0, 0)] * (shards - 1)
-    splitters = [Splitter(total * i / shards, total) for i in range(1, shards)]
-    _refine(keys, "k1", splitters, tolerance * total / shards, probes)
-    inside: dict[int, list[Splitter]] = {}
-    for s in splitters:
-        if s.rows and s.rows > 1 and s.hi - s.lo == 1 and s.nearest()[1] > group_tolerance * total / shards:
-            s.second = Splitter(s.target, s.above, below=s.below)
-            inside.setdefault(s.lo, []).append(s)
-    for k1, some in inside.items():  # fewer than shards
-        _refine(keys.where(F.col("k1") == k1), "k2", [s.second for s in some], tolerance * total / shards, probes)
-    return sorted((s.lo, s.second.nearest()[0]) if s.second else (s.nearest()[0], 0) for s in splitters)
+        return [(0, 0, 0)] * (shards - 1)
+    near, group = tolerance * total / shards, group_tolerance * total / shards
+    first = [Splitter(total * i / shards, total) for i in range(1, shards)]
+    _refine(keys, "k1", first, near, probes)
+    level = [((), s) for s in first]
+    for deeper in ("k2", "k3"):
+        inside: dict[tuple, list[Splitter]] = {}
+        for prefix, s in level:
+            if s.rows and s.rows > 1 and s.hi - s.lo == 1 and s.nearest()[1] > group:
+                s.second = Splitter(s.target, s.above, below=s.below)
+                inside.setdefault((*prefix, s.lo), []).append(s.second)
+        for prefix, some in inside.items():  # fewer than shards
+            same = F.lit(True)
+            for k, x in zip(("k1", "k2"), prefix, strict=False):
+                same = same & (F.col(k) == x)
+            _refine(keys.where(same), deeper, some, near, probes)
+        level = [(prefix, s) for prefix, some in inside.items() for s in some]
+
+    def bound(s: Splitter) -> tuple[int, ...]:
+        return (s.lo, *bound(s.second)) if s.second else (s.nearest()[0],)
+
+    return sorted((*bound(s), 0, 0)[:3] for s in first)
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot``: shards of near equal bytes, slots gapless from 0 in each.
 
     A null text has size 1 and the checksum of an empty one. Equal texts share a shard unless a splitter falls among
-    them and neither end of their group is near its target. Within a shard, slots follow parts of the id's
-    hash, so that a shard, or a text that a third of all rows have, is numbered by many tasks. Equal rows
+    them and neither end of their group is near its target; so may equal rows, and rows without an id. Within a shard, slots follow parts of the keys'
+    hashes, so that a shard, or a text that a third of all rows have, is numbered by many tasks. Equal rows
     are interchangeable; ids may be null; other columns aren't read; an empty table gives an empty result.
     """
     text = F.col(text_col)
     keys = docs.select(
-        F.col(id_col).alias("doc_id"), hash62(common.text_of(text_col), text.isNull()).alias("k1"), hash62(F.col(id_col), F.lit(7)).alias("k2"),
+        F.col(id_col).alias("doc_id"), hash62(common.text_of(text_col), text.isNull()).alias("k1"), hash62(F.col(id_col), F.lit(7)).alias("k2"), hash62(F.monotonically_increasing_id()).alias("k3"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(common.text_of(text_col).cast("binary")).alias("text_crc32"),
     )
     keys = common.materialize(keys)
     bounds = find_splitters(keys, shards, tolerance)
     shard = F.lit(0)
-    for first, second in bounds:
-        shard = shard + ((F.col("k1") > first) | ((F.col("k1") == first) & (F.col("k2") >= second))).cast("int")
+    for first, second, third in bounds:
+        above = (F.col("k2") > second) | ((F.col("k2") == second) & (F.col("k3") >= third))
+        shard = shard + ((F.col("k1") > first) | ((F.col("k1") == first) & above)).cast("int")
     parts = common.salt_count(keys.count())
-    d = keys.withColumn("shard", shard).withColumn("part", F.pmod(F.xxhash64("k2"), F.lit(parts)))
+    d = keys.withColumn("shard", shard).withColumn("part", F.pmod(F.xxhash64("k2", "k3"), F.lit(parts)))
     sums = d.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     base = sums.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("base"))
-    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("k1", "k2"))
+    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("k1", "k2", "k3"))
     d = d.withColumn("in", within).join(base, ["shard", "part"])
     return d.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("in") - 1).cast("long").alias("slot"))
 

@@ -355,7 +355,8 @@ def _suffixes(length: int):
 def find_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``k1, k2, text, blocks, starts``: each text (once, by its keys) that has repeated strings, and where these begin.
 
-    They begin at each suffix of ``blocks`` (see suffixes_of()), and at ``starts``.
+    They begin at each suffix of ``blocks`` (see suffixes_of()), and at ``starts``. Null and empty texts, and texts under ``length``, have none;
+    repeated rows are one text, whose copies don't count here; ids and other columns aren't read; an empty table gives an empty result.
     """
     if length < V + 32:
         raise ValueError(f"length must be {V + 32} at least")
@@ -386,7 +387,10 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH)
 
 
 def cut(repeats: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``k1, k2, n_removed, n_spans, spans, kept_sha256`` and ``kept``, the bytes that remain, for the rows of find_repeats()."""
+    """``k1, k2, n_removed, n_spans, spans, kept_sha256`` and ``kept``, the bytes that remain, for the rows of find_repeats().
+
+    A row none of whose places lies in its text gives no row. A very long text is cut in one piece; no rows give none.
+    """
 
     def run(batches):
         import numpy as np

@@ -72,7 +72,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     The parts' totals come from a read of two number columns; they are one row for each part.
     """
-    rows = spark.read.schema(SCHEMA).parquet(path)
+    return with_starts(spark.read.schema(SCHEMA).parquet(path))
+
+
+def with_starts(rows: DataFrame) -> DataFrame:
+    """The rows of the files, with starts, as read_tokens() gives them."""
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = F.sum("total").over(Window.orderBy("part")) - F.col("total")
     offsets = totals.select("part", before.alias("offset"))
@@ -97,4 +101,4 @@ def digests(rows: DataFrame) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.work_dir(spark)
     write_tokens(common.read(spark, sf_dir, "documents"), path, tokens.public_path("byte_bpe_50k.json"))
-    return digests(read_tokens(spark, path))
+    return digests(with_starts(common.read_work(spark, path, SCHEMA)))

@@ -146,6 +146,16 @@ def test_sharding_odd(odd, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_repeated_rows_are_split(spark):
+    """A third of all bytes are one text of one id, and a third one text without any id."""
+    rows = [(5, "again " * 20)] * 400 + [(None, "nameless " * 14)] * 400 + [(i, f"text {i} " * 18) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = Counter()
+    for r in sharding.shard_documents(docs).collect():
+        sizes[r.shard] += r["size"]
+    assert sorted(sizes) == list(range(8)) and max(sizes.values()) <= 1.05 * min(sizes.values())
+
+
 # ---------------------------------------------------------------- mixing
 
 
