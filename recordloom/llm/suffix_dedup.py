@@ -39,6 +39,8 @@ V = 273
 COVER = (1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256)
 #: Positions that a map task holds before it sends them, and bytes of text for each bucket.
 FLUSH, BUCKET_BYTES, LEAST_BUCKETS = 1 << 19, 4 << 20, 64
+#: Picked positions hashed at a time, and bytes of the texts that are handled together.
+PART, SLICE = 1 << 17, 2 << 20
 #: Bytes hashed at a time, so that one very long text needs no more memory than this.
 STRIDE = 1 << 17
 PACKED = "bucket int, settled boolean, h binary, g binary, f binary, doc binary, pos binary, known binary"
@@ -100,23 +102,30 @@ class WordHasher:
         m = int(rng.integers(0, 2**62)) * 8 + 5
         self.low, self.high = Hasher._powers(m, STRIDE), Hasher._powers(pow(m, STRIDE, 2**64), STRIDE)
 
-    def __call__(self, b):
+    def __call__(self, b, at):
+        """The hashes of the words of b, texts one after the other that begin at ``at[:-1]``; and the first word of each text, and their number."""
         import numpy as np
 
         word = ~self.space[b]
-        starts = np.flatnonzero(word & ~np.concatenate((np.zeros(1, bool), word[:-1]))) if len(b) else np.zeros(0, "i8")
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        begin = at[:-1][at[:-1] < len(b)]
+        first[begin] = word[begin]
+        starts = np.flatnonzero(first)
         out = np.zeros(len(starts), "u8")
         edges = np.searchsorted(starts, np.arange(0, len(b) + STRIDE, STRIDE))
         for i, j in zip(edges[:-1], edges[1:], strict=True):
             if i < j:
-                at, end = starts[i], starts[j] if j < len(starts) else len(b)
-                begin = starts[i:j] - at
-                k = np.arange(end - at) - np.repeat(begin, np.diff(np.append(begin, end - at)))
-                x = self.table[b[at:end]] * self.low[k % STRIDE]
-                if k[-1] >= STRIDE or k.max() >= STRIDE:
-                    x *= self.high[k // STRIDE]
+                s, e = starts[i], starts[j] if j < len(starts) else len(b)
+                begin = starts[i:j] - s
+                sizes = np.diff(np.append(begin, e - s))
+                k = np.arange(e - s) - np.repeat(begin, sizes)
+                if sizes.max() <= STRIDE:
+                    x = self.table[b[s:e]] * self.low[k]
+                else:
+                    x = self.table[b[s:e]] * self.low[k % STRIDE] * self.high[k // STRIDE]
                 out[i:j] = np.add.reduceat(x, begin)
-        return mixed(out)
+        return mixed(out), np.searchsorted(starts, at)
 
 
 class Sender:
@@ -125,11 +134,9 @@ class Sender:
     def __init__(self, buckets: int, task: int, across: bool = False):
         self.buckets, self.task, self.across, self.rows, self.n = buckets, task, across, [], 0
 
-    def add(self, h, g, f, doc: int, pos) -> None:
-        import numpy as np
-
+    def add(self, h, g, f, doc, pos) -> None:
         if len(h):
-            self.rows.append((h, g, f, np.full(len(h), doc, "i8"), pos.astype("i8")))
+            self.rows.append((h, g, f, doc.astype("i8"), pos.astype("i8")))
             self.n += len(h)
 
     def flush(self) -> list[tuple]:
@@ -199,9 +206,10 @@ def repeated(rows: DataFrame, produce, buckets: int, across: bool = False) -> Da
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), *[pa.binary()] * 6), strict=True)], names)
 
         for b in batches:
-            for _ in work(b, sender):
-                if sender.n >= FLUSH:
-                    yield packed(sender.flush())
+            for part in slices(b):
+                for _ in work(part, sender):
+                    if sender.n >= FLUSH:
+                        yield packed(sender.flush())
         if out := sender.flush():
             yield packed(out)
 
@@ -243,24 +251,67 @@ def repeated(rows: DataFrame, produce, buckets: int, across: bool = False) -> Da
     return sent.mapInArrow(settle, "doc long, pos long, check boolean")
 
 
+def flat(texts):
+    """The bytes of an Arrow column of texts without nulls, one after the other, and where each begins and the last ends."""
+    import numpy as np
+
+    kind = "i8" if pa.types.is_large_string(texts.type) else "i4"
+    _, offsets, data = texts.buffers()
+    if offsets is None or not len(texts):
+        return np.zeros(0, "u1"), np.zeros(len(texts) + 1, "i8")
+    at = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype("i8")
+    b = np.frombuffer(data, "u1") if data else np.zeros(0, "u1")
+    return b[at[0] : at[-1]], at - at[0]
+
+
+def slices(batch, texts: int = 1):
+    """Parts of a batch whose texts have about SLICE bytes, or one text that has more."""
+    import numpy as np
+
+    _, at = flat(batch.column(texts))
+    start = 0
+    while start < len(at) - 1:
+        end = max(start + 1, int(np.searchsorted(at, at[start] + SLICE, "right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def flat_lists(lists):
+    """The numbers of an Arrow column of lists without nulls, and the row of each."""
+    import numpy as np
+
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype("i8"), np.repeat(np.arange(len(lists)), sizes)
+
+
+def _picked(n, period: int, cover, size: int):
+    """(text, place), in parts: the picked places of texts of ``n`` items each that begin ``size`` items."""
+    import numpy as np
+
+    grid = (np.arange(0, int(n.max(initial=0)) + 1, period)[:, None] + np.array(cover)).ravel()
+    count = np.searchsorted(grid, n - size, "right")
+    end = np.cumsum(count)
+    for s in range(0, int(end[-1]) if len(end) else 0, PART):
+        k = np.arange(s, min(s + PART, end[-1]))
+        text = np.searchsorted(end, k, "right")
+        yield text, grid[k - (end - count)[text]]
+
+
 def _cover_positions(length: int):
     """For a batch with columns key and text: the picked positions, and hashes of the bytes that a shift leaves."""
 
     def produce():
         import numpy as np
 
-        size, cover = length - V + 1, np.array(COVER)
+        size = length - V + 1
         hasher = Hasher(1, size)
 
         def work(batch, sender):
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                b = np.frombuffer(text.encode(), "u1")
-                for at in range(0, len(b), V * 4096):  # a stretch of a very long text at a time
-                    p = (at + np.arange(0, min(V * 4096, len(b) - at), V)[:, None] + cover).ravel()
-                    p = p[p <= len(b) - size]
-                    zero = np.zeros(len(p), "u8")
-                    sender.add(hasher.at(b, p, size), zero, zero, key, p)
-                    yield
+            keys, (b, at) = batch.column(0).to_numpy(), flat(batch.column(1))
+            for text, p in _picked(np.diff(at), V, COVER, size):
+                zero = np.zeros(len(p), "u8")
+                sender.add(hasher.at(b, at[text] + p, size), zero, zero, keys[text], p)
+                yield
 
         return work
 
@@ -272,15 +323,6 @@ def block_kinds(length: int) -> list[tuple[int, int]]:
     return [(d, min(STEP, V - d)) for d in range(0, V, STEP)]
 
 
-def _block_starts(at, n: int, length: int):
-    """(kind, last suffix of each block): blocks of a text of n suffixes that hold any, for its members of classes."""
-    import numpy as np
-
-    for kind, width in enumerate(sorted({w for _, w in block_kinds(length)}, reverse=True)):
-        last = np.unique(np.concatenate([at - d for d, w in block_kinds(length) if w == width]))
-        yield kind, width, last[(last >= 0) & (last - width + 1 < n)]
-
-
 def mixed(x):
     """A bijection of 64-bit numbers that spreads every bit over all."""
     import numpy as np
@@ -290,31 +332,41 @@ def mixed(x):
     return x ^ (x >> np.uint64(31))
 
 
-def own_kinds(uid: int, last):
-    """A kind for each block of text ``uid``: all bits of uid and of the block's last suffix count, at any number of partitions."""
+def own_kinds(uid, last):
+    """A kind for each block of text ``uid`` (one, or one a block): all bits of uid and of the block's last suffix count, at any number of partitions."""
     import numpy as np
 
-    return mixed(mixed(np.full(len(last), uid, "u8")) + last.astype("u8"))
+    return mixed(mixed(np.broadcast_to(np.asarray(uid), len(last)).astype("u8")) + last.astype("u8"))
 
 
 def _blocks(length: int):
-    """For a batch with columns uid, text and at: blocks of suffixes by the hashes of their common bytes (h, g) and of all their bytes (f)."""
+    """For a batch with columns uid, text and at: blocks of suffixes by the hashes of their common bytes (h, g) and of all their bytes (f).
+
+    A block is named by its last suffix, twice, plus its width's place among the widths. Blocks that hold any suffix of the text count.
+    """
 
     def produce():
         import numpy as np
 
         one, two, three = (Hasher(k, length + STEP) for k in (2, 3, 4))
+        widths = sorted({w for _, w in block_kinds(length)}, reverse=True)
 
         def work(batch, sender):
-            for uid, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                b = np.frombuffer(text.encode(), "u1")
-                for kind, width, last in _block_starts(np.asarray(at), len(b) - length + 1, length):
-                    size, most, start = length - width + 1, length + width - 1, last - width + 1
-                    whole = (start >= 0) & (start + most <= len(b))
-                    # blocks that reach over an end of the text are of no kind but their own
-                    f = own_kinds(uid, last)
-                    f[whole] = three.at(b, start[whole], most)
-                    sender.add(one.at(b, last, size), two.at(b, last, size), f, uid, last * 2 + kind)
+            uid, (b, begin) = batch.column(0).to_numpy(), flat(batch.column(1))
+            at, text = flat_lists(batch.column(2))
+            n = np.diff(begin)
+            for kind, width in enumerate(widths):
+                shifts = np.array([d for d, w in block_kinds(length) if w == width])
+                last, of = (at[:, None] - shifts).ravel(), np.repeat(text, len(shifts))
+                fits = (last >= 0) & (last - width + 1 < n[of] - length + 1)
+                place, first = np.unique(last[fits] + begin[of[fits]], return_index=True)
+                last, of = last[fits][first], of[fits][first]
+                size, most, start = length - width + 1, length + width - 1, last - width + 1
+                whole = (start >= 0) & (start + most <= n[of])
+                # blocks that reach over an end of the text are of no kind but their own
+                f = own_kinds(uid[of], last)
+                f[whole] = three.at(b, place[whole] - width + 1, most)
+                sender.add(one.at(b, place, size), two.at(b, place, size), f, uid[of], last * 2 + kind)
                 yield
 
         return work
@@ -339,12 +391,19 @@ def _suffixes(length: int):
         import numpy as np
 
         one, two = Hasher(5, length), Hasher(6, length)
+        widths = sorted({w for _, w in block_kinds(length)}, reverse=True)
 
         def work(batch, sender):
-            for uid, text, edges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                b, p = np.frombuffer(text.encode(), "u1"), suffixes_of(edges, length)
-                p = p[(p >= 0) & (p <= len(b) - length)]
-                sender.add(one.at(b, p, length), two.at(b, p, length), np.zeros(len(p), "u8"), uid, p)
+            uid, (b, begin) = batch.column(0).to_numpy(), flat(batch.column(1))
+            edges, text = flat_lists(batch.column(2))
+            p = [((edges[edges % 2 == k] // 2)[:, None] - np.arange(w)).ravel() for k, w in enumerate(widths)]
+            p, of = np.concatenate(p), np.concatenate([np.repeat(text[edges % 2 == k], w) for k, w in enumerate(widths)])
+            fits = (p >= 0) & (p <= np.diff(begin)[of] - length)
+            place, first = np.unique(p[fits] + begin[of[fits]], return_index=True)
+            p, of = p[fits][first], of[fits][first]
+            for s in range(0, len(p), PART):
+                k = slice(s, s + PART)
+                sender.add(one.at(b, place[k], length), two.at(b, place[k], length), np.zeros(len(p[k]), "u8"), uid[of[k]], p[k])
                 yield
 
         return work
@@ -420,17 +479,16 @@ def _word_positions(passage: int):
     def produce():
         import numpy as np
 
-        size, cover = passage - WORD_V + 1, np.array(WORD_COVER)
+        size = passage - WORD_V + 1
         words, hasher = WordHasher(7), Hasher(8, size)
 
         def work(batch, sender):
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = words(np.frombuffer(text.encode(), "u1"))
-                if len(w) >= passage:
-                    p = (np.arange(0, len(w), WORD_V)[:, None] + cover).ravel()
-                    p = p[p <= len(w) - size]
-                    zero = np.zeros(len(p), "u8")
-                    sender.add(hasher.at(w, p, size), zero, zero, key, p)
+            keys, (b, at) = batch.column(0).to_numpy(), flat(batch.column(1))
+            w, begin = words(b, at)
+            n = np.diff(begin)
+            for text, p in _picked(np.where(n >= passage, n, 0), WORD_V, WORD_COVER, size):
+                zero = np.zeros(len(p), "u8")
+                sender.add(hasher.at(w, begin[text] + p, size), zero, zero, keys[text], p)
                 yield
 
         return work
@@ -447,11 +505,16 @@ def _word_windows(passage: int):
         words, one, two = WordHasher(7), Hasher(9, passage), Hasher(10, passage)
 
         def work(batch, sender):
-            for uid, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                w = words(np.frombuffer(text.encode(), "u1"))
-                p = np.unique(np.asarray(at, "i8")[:, None] - np.arange(WORD_V))
-                p = p[(p >= 0) & (p <= len(w) - passage)]
-                sender.add(one.at(w, p, passage), two.at(w, p, passage), np.zeros(len(p), "u8"), uid, p)
+            uid, (b, at) = batch.column(0).to_numpy(), flat(batch.column(1))
+            w, begin = words(b, at)
+            p, text = flat_lists(batch.column(2))
+            p, of = (p[:, None] - np.arange(WORD_V)).ravel(), np.repeat(text, WORD_V)
+            fits = (p >= 0) & (p <= np.diff(begin)[of] - passage)
+            place, first = np.unique(p[fits] + begin[of[fits]], return_index=True)
+            p, of = p[fits][first], of[fits][first]
+            for s in range(0, len(p), PART):
+                k = slice(s, s + PART)
+                sender.add(one.at(w, place[k], passage), two.at(w, place[k], passage), np.zeros(len(p[k]), "u8"), uid[of[k]], p[k])
                 yield
 
         return work
