@@ -14,11 +14,17 @@ from pyspark.sql.types import DoubleType
 from recordloom.session import ship_to_active
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one bit for each character of a."""
+def places(a: str) -> dict[str, int]:
+    """For each character, one bit for each of its places in a."""
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
+    return where
+
+
+def lcs(a: str, b: str, where: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, one bit for each character of a; ``where`` is places(a), if known."""
+    where = where or places(a)
     full = (1 << len(a)) - 1
     s = full
     for c in b:
@@ -53,20 +59,39 @@ def set_ratio(a: str, b: str) -> float:
     return max(found)
 
 
+def stretches(short: str, long: str) -> list[tuple[float, int, int]]:
+    """``bound, start, end`` of the stretches of ``long`` that partial_ratio() compares: its starts, its parts as long as ``short``, and its ends.
+
+    The bound of a stretch's ratio is by the characters that it shares with ``short`` in any order, counted as the stretch moves on.
+    """
+    m, n, common, room, out = len(short), len(long), 0, {}, []
+    for c in short:
+        room[c] = room.get(c, 0) + 1
+    for end in range(1, n + m):
+        if end <= n and long[end - 1] in room:
+            c = long[end - 1]
+            room[c] -= 1
+            common += room[c] >= 0
+        if end > m and long[end - m - 1] in room:
+            c = long[end - m - 1]
+            common -= room[c] >= 0
+            room[c] += 1
+        s, e = max(0, end - m), min(n, end)
+        out.append((2 * common / (m + e - s), s, e))
+    return out
+
+
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter string and the longer one's stretches of its length, and its shorter starts and ends."""
+    """The best ratio of the shorter string and the longer one's stretches of its length, and its shorter starts and ends; the most promising first."""
     if not a or not b:
         return float(a == b)
     best = 0.0
     for short, long in [(a, b)] if len(a) < len(b) else [(b, a)] if len(b) < len(a) else [(a, b), (b, a)]:
-        m, n, chars = len(short), len(long), set(short)
-        spans = [(0, i) for i in range(1, m)] + [(i, i + m) for i in range(n - m + 1)] + [(i, n) for i in range(n - m + 1, n)]
-        for s, e in spans:
-            # a stretch that begins or ends with a strange character is no better than one without it
-            if (long[e - 1] in chars if e - s == m or s == 0 else long[s] in chars) and 2 * min(m, e - s) / (m + e - s) > best:
-                best = max(best, ratio(short, long[s:e]))
-        if best == 1:
-            break
+        m, where = len(short), places(short)
+        for bound, s, e in sorted(stretches(short, long), reverse=True):
+            if bound <= best:
+                break
+            best = max(best, 2 * lcs(short, long[s:e], where) / (m + e - s))
     return best
 
 

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.similarity import similarity
 from recordloom.functions.text import let, words
+from recordloom.session import materialize
 
 #: Keys and channels of the method.
 TOP_K, FINAL_K, MAX_KEY_DF, MIN_COSINE, MAX_GRAM_SHARE = 10, 8, 200, 0.05, 0.002
 CHANNELS = ("name_ngram", "phon_key", "mix_key", "name_key", "addr_key")
+#: Sums of doubles depend on their order in the last digits; ranks don't look at them.
+DIGITS = 9
 PREFILTER_FEATURES = (*CHANNELS, "pf_name", "pf_addr")
 
 
@@ -91,12 +94,12 @@ def retrieve(reference: DataFrame, targets: DataFrame, k: int = TOP_K, min_cosin
 
     ``reference`` and ``targets`` are normalized records. Ties go to the smaller s1.
     """
-    ref = channel_keys(reference)
-    weights = key_weights(ref)
+    ref = materialize(channel_keys(reference))
+    weights = materialize(key_weights(ref))
     r = unit_weights(ref, weights).select(F.col("entity_id").alias("s1"), "country", "channel", "key", F.col("w").alias("w1"))
-    t = unit_weights(channel_keys(targets), weights).select(F.col("entity_id").alias("tid"), "country", "channel", "key", F.col("w").alias("w2"))
+    t = unit_weights(ref if targets is reference else channel_keys(targets), weights).select(F.col("entity_id").alias("tid"), "country", "channel", "key", F.col("w").alias("w2"))
     cos = t.join(r, ["country", "channel", "key"]).groupBy("tid", "s1", "country", "channel").agg(F.sum(F.col("w1") * F.col("w2")).alias("cos")).where(F.col("cos") > min_cosine)
-    best = Window.partitionBy("tid", "channel").orderBy(F.desc("cos"), "s1")
+    best = Window.partitionBy("tid", "channel").orderBy(F.desc(F.round("cos", DIGITS)), "s1")
     top = cos.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
     scores = [F.coalesce(F.max(F.when(F.col("channel") == c, F.col("cos"))), F.lit(0.0)).alias(c) for c in CHANNELS]
     return top.groupBy("tid", "s1", "country").agg(*scores)
@@ -128,7 +131,7 @@ def rank_candidates(pairs: DataFrame, prefilter: dict, k: int = FINAL_K) -> Data
     for c, f in zip(prefilter["coef"], prefilter["features"], strict=True):
         score = score + F.lit(c) * F.col(f)
     d = pairs.withColumn("pf_score", score)
-    return d.withColumn("pf_rank", F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("pf_score"), "s1"))).where(F.col("pf_rank") <= k)
+    return d.withColumn("pf_rank", F.row_number().over(Window.partitionBy("tid").orderBy(F.desc(F.round("pf_score", DIGITS)), "s1"))).where(F.col("pf_rank") <= k)
 
 
 def channel_recall(pairs: DataFrame, links: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ def _swapped(a: pd.Series, b: pd.Series) -> pd.Series:
     def alone(x: list[str], y: list[str]) -> bool:
         return any(len(w) >= 3 and all(ratio(w, v) < 0.7 for v in y) for w in x)
 
-    return pd.Series([alone(x.split(), y.split()) and alone(y.split(), x.split()) for x, y in zip(a, b, strict=True)], dtype=bool)
+    return pd.Series([x is not None and y is not None and alone(x.split(), y.split()) and alone(y.split(), x.split()) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
 def swap_flags(pairs: DataFrame, reference: DataFrame, targets: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ GROUP_FEATURES = (
     "s1_skel_freq", "s1_name_freq", "t_skel_freq", "t_addr_empty", "t_has_num", "is_s3",
 )
 SCORE_FEATURES = ("ce", "ce_logit", "ce_gap", "ce_rank", "ce_best_other", "s1_addr_n", "s1_street_n", "t_addr_n", "same_addr")
+COHESION_FEATURES = ("grp_name_to_s1", "grp_addr_to_s1", "grp_num_to_s1", "grp_name_min", "orphan_name", "orphan_addr", "self_vs_grp_name")
 NAME_FEATURES = ("name_idf_jac", "s_idf_cov", "s_missing_max", "t_extra_max")
 
 
@@ -140,3 +141,24 @@ def add_name_weights(features: DataFrame, reference: DataFrame, targets: DataFra
 def rescore(pred: DataFrame, second: DataFrame) -> DataFrame:
     """``pred`` with the second stage's probability (tid, s1, p2) where there is one."""
     return pred.join(second.select("tid", "s1", "p2"), ["tid", "s1"], "left").withColumn("p", F.coalesce("p2", "p")).drop("p2")
+
+
+def two_scorers(features: DataFrame, second: DataFrame, name: str = "ce2") -> DataFrame:
+    """``features`` with another pair score (tid, s1, ``name``) and its logit beside the first; null where it has none."""
+    return features.join(second.select("tid", "s1", name), ["tid", "s1"], "left").withColumn(f"{name}_logit", F.when(F.col(name).isNotNull(), logit(F.col(name))))
+
+
+def cohesion(group: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Adds COHESION_FEATURES: how the other confident members of a record's group agree with the record, and how a pair stands to that.
+
+    ``group`` has GROUP_FEATURES; ``evidence`` has tid, s1, n_tset, a_tset, num_jac. Means are null where a record has no other confident member.
+    Records that are missing leave groups that agree with each other but loosely with the record they were drawn to.
+    """
+    d = group.join(evidence.select("tid", "s1", "n_tset", "a_tset", "num_jac"), ["tid", "s1"], "left")
+    w = Window.partitionBy("s1")
+    member = (F.col("rank") == 1) & (F.col("p") >= CONFIDENT_P)
+    others = F.count_if(member).over(w) - member.cast("int")
+    mean = lambda c: F.when(others > 0, (F.sum(F.when(member, F.col(c))).over(w) - F.when(member, F.col(c)).otherwise(0.0)) / others)
+    d = d.withColumns({"grp_name_to_s1": mean("n_tset"), "grp_addr_to_s1": mean("a_tset"), "grp_num_to_s1": mean("num_jac"), "grp_name_min": F.min(F.when(member, F.col("n_tset"))).over(w)})
+    c = F.col
+    return d.withColumns({"orphan_name": c("sib_name_mean") - c("grp_name_to_s1"), "orphan_addr": c("sib_addr_mean") - c("grp_addr_to_s1"), "self_vs_grp_name": c("n_tset") - c("grp_name_to_s1")})

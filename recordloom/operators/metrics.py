@@ -59,3 +59,27 @@ def tune(pred: DataFrame, truth: DataFrame, cands: DataFrame | None = None) -> t
     pred.unpersist()
     best = max(grid, key=lambda g: g["macro_f05"])
     return {"threshold": best["threshold"], "expected_f": best["expected_f"]}, grid
+
+
+def auc(scores: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
+    """``positives, negatives, auc``: the chance that a positive scores above a negative, ties half. Null without both.
+
+    Exact, and sorted in parts: distinct scores are summed up first, then counted below by parts of the score's range (scores in [0, 1]).
+    """
+    from pyspark.sql import Window
+
+    d = scores.groupBy(F.col(score).alias("x")).agg(F.count_if(F.col(label) > 0).alias("pos"), F.count_if(F.col(label) <= 0).alias("neg"))
+    d = d.withColumn("part", F.floor(F.col("x") * 4096).cast("int"))
+    parts = d.groupBy("part").agg(F.sum("neg").alias("n"))
+    base = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))  # 4,097 rows at most
+    below = F.sum("neg").over(Window.partitionBy("part").orderBy("x")) - F.col("neg")
+    won = d.withColumn("below", below).join(F.broadcast(base), "part").select("pos", "neg", (F.col("pos") * (F.col("base") + F.col("below") + F.col("neg") / 2)).alias("won"))
+    return won.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum("won").alias("won")).select("positives", "negatives", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("won") / F.col("positives") / F.col("negatives")).alias("auc"))
+
+
+def describe(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``column, n, mean, std, least, q1, median, q3, most`` of number columns, nulls left out; quartiles are exact."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("r")).select("r.*")
+    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    d = long.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), q.alias("q"), F.max("x").alias("most"))
+    return d.select("column", "n", "mean", "std", "least", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "most")

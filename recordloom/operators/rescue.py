@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocking import cheap_similarities
-from .group_features import logit
+from .group_features import MIN_P, logit
+from .splits import unit
 from .vectors import dense_top_k
 
 OPEN_P, DENSE_K = 0.7, 5
+#: Targets whose best candidate is under this are looked at by widen(); this share of them is searched.
+WIDE_P, WIDE_SHARE = 0.5, 0.2
 RESCUE_FEATURES = ("ce", "ce_logit", "dense_cos", "dense_rank", "pf_name", "pf_addr", "best_p", "ce_rank_t", "ce_max_t", "ce_gap_t", "n_resc", "is_s3")
 
 
@@ -46,3 +49,19 @@ def gate_report(rescue: DataFrame, links: DataFrame) -> DataFrame:
 def merge_rescue(pred: DataFrame, rescue: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     """``pred`` and the rescue pairs (tid, s1, country, p), but for countries that opt out."""
     return pred.select("tid", "s1", "country", "p").unionByName(rescue.where(~F.col("country").isin(*without) if without else F.lit(True)).select("tid", "s1", "country", "p"))
+
+
+def widen(best: DataFrame, held: DataFrame, used: DataFrame, pool: DataFrame, scored: DataFrame, near: DataFrame, least_p: float = MIN_P, below: float = WIDE_P, share: float = WIDE_SHARE, seed: int = 42) -> DataFrame:
+    """``tid, part``: targets that a simulation would miss, though the rescue lane is for them.
+
+    Part B: targets of ``pool`` (tid, the second half) without a pair in play, at the rate at which ``scored`` (tid) was drawn from those with one. Part val: other targets
+    whose best probability is under ``below``, a ``share`` of them by hash, if one of their nearest records (``near``: tid, s1; none dropped) is held out (``held``: s1).
+    ``best`` is tid, p1 (the best probability); targets in ``used`` (tid) are never added. Draws are by hash of the id.
+    """
+    half = best.join(pool.select("tid").distinct(), "tid", "left_semi")
+    rate = half.where(F.col("p1") >= least_p).agg(F.count(F.lit(1)).alias("__n")).crossJoin(scored.select("tid").distinct().agg(F.count(F.lit(1)).alias("__b")))  # one row
+    quiet = half.where(F.col("p1") < least_p).join(used.select("tid"), "tid", "left_anti").crossJoin(F.broadcast(rate))
+    quiet = quiet.where(unit("tid", seed + 300) * F.col("__n") < F.col("__b")).select("tid")
+    rest = best.where(F.col("p1") < below).join(used.select("tid"), "tid", "left_anti").join(scored.select("tid"), "tid", "left_anti").join(quiet, "tid", "left_anti").where(unit("tid", seed + 400) < share)
+    touching = near.join(held.select("s1"), "s1", "left_semi").select("tid").distinct()
+    return rest.join(touching, "tid", "left_semi").select("tid", F.lit("val").alias("part")).unionByName(quiet.select("tid", F.lit("B").alias("part")))

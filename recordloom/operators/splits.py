@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 DROP_SHARE, VAL_SHARE = 0.19, 0.02
 
 
+def drawn(col: str, seed: int) -> Column:
+    """A number of 32 bits for each value of a column; seeds are independent roles. By MD5, so that any engine draws the same."""
+    return F.conv(F.substring(F.md5(F.concat(F.col(col).cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def unit(col: str, seed: int) -> Column:
-    """A number in [0, 1) for each value of a column; seeds are independent roles."""
-    return F.pmod(F.xxhash64(F.col(col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    """A number in [0, 1) for each value of a column."""
+    return drawn(col, seed) / float(1 << 32)
 
 
 def fold(col: str, n: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(col), F.lit(seed)), F.lit(n)).cast("int")
+    return F.pmod(drawn(col, seed), F.lit(n)).cast("int")
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """``n`` rows (of each group), those of smallest hash."""
     if not by:
-        return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
-    w = Window.partitionBy(*by).orderBy(F.xxhash64(key, F.lit(seed)), key)
+        return df.orderBy(drawn(key, seed), key).limit(n)
+    w = Window.partitionBy(*by).orderBy(drawn(key, seed), key)
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
 
 

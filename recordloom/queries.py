@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom import oracle_text
+from recordloom import oracle_text, pair_queries
 from recordloom.functions import text
 from recordloom.functions.similarity import similarity
 from recordloom.operators import assignment, blocking, diagnostics, group_features, metrics, pair_features, rescue, splits, vectors
 from recordloom.sources import sinks, tables
 
-PREFILTER = {"coef": [1.5, 0.75, 0.5, 1.25, 1.0, 2.0, 1.5], "intercept": -2.5, "features": list(blocking.PREFILTER_FEATURES)}
+PREFILTER = pair_queries.PREFILTER
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,21 +156,6 @@ def q_block_name_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cos.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= blocking.TOP_K).select("tid", "s1", "country", F.round("cos", 6).alias("cos"), "rank")
 
 
-def q_block_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All five channels over the part, customer and supplier names, as records of one country."""
-    d = names(spark, sf_dir).where("source <> 'pages'").select(F.concat_ws("-", "source", F.xxhash64("raw")).alias("entity_id"), F.lit("X").alias("country"), F.col("raw").alias("business_name"), F.col("source").alias("business_address")).distinct()
-    n = text.normalize_records(d)
-    return blocking.rank_candidates(blocking.cheap_similarities(blocking.retrieve(n, n), n, n), PREFILTER)
-
-
-def q_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 41 features of the union's pairs."""
-    d = names(spark, sf_dir).where("source <> 'pages'").select(F.concat_ws("-", "source", F.xxhash64("raw")).alias("entity_id"), F.lit("X").alias("country"), F.col("raw").alias("business_name"), F.col("source").alias("business_address")).distinct()
-    n = text.normalize_records(d)
-    pairs = blocking.rank_candidates(blocking.cheap_similarities(blocking.retrieve(n, n), n, n), PREFILTER)
-    return pair_features.pair_features(pair_features.with_context(pairs), n, n)
-
-
 def q_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer and supplier names of the same nation."""
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
@@ -343,7 +328,7 @@ def q_dense_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vector truly belongs to any vector whose id is within three of its own."""
+    """A vector truly belongs to any vector whose id is within twenty of its own."""
     v = _vectors(spark, sf_dir)
     near = vectors.dense_top_k(v, v, 5, exclude_same=True)
     links = near.where(F.abs(F.col("tid").cast("long") - F.col("s1").cast("long")) <= 20).select("tid", "s1")
@@ -367,7 +352,7 @@ def q_resolve_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assignment.assign(d, 0.3).select("s1", F.array_join("tids", ",").alias("tids"))
 
 
-QUERIES = {n[2:]: f for n, f in dict(globals()).items() if n.startswith("q_")}
+QUERIES = {n[2:]: f for n, f in dict(globals()).items() if n.startswith("q_")} | pair_queries.QUERIES
 
 TEXT_WORDS = r"[x FOR x IN string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') IF x <> '']"
 ORACLE_SQL = {
@@ -451,5 +436,7 @@ ORACLE_SQL = {
         g AS (SELECT k, count(*) AS n, sum((abs(tid - s1) <= 20)::INT) AS t FROM r WHERE k <= 5 GROUP BY k)
         SELECT k::INT AS dense_rank, (sum(n) OVER o)::BIGINT AS pairs, (sum(t) OVER o)::BIGINT AS true, round((sum(t) OVER o) / greatest((SELECT sum(t) FROM g), 1), 9) AS kept FROM g WINDOW o AS (ORDER BY k)""",
     "id_lists": f"""WITH {PRED}, {PREFIX} SELECT r.s1 AS source1_entity_id, coalesce(string_agg(kept.tid, ',' ORDER BY kept.tid), '') AS matched_entity_ids FROM reference r LEFT JOIN kept USING (s1) GROUP BY r.s1""",
+    "resolve_documents": f"""WITH {KEYS}, pred AS (SELECT tid, s1, country, least(round(cos, 6), 0.999::DOUBLE) AS p FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY round(cos, 8) DESC, s1) AS r FROM cos) WHERE r <= 10 AND tid <> s1),
+        best AS (SELECT * FROM pred QUALIFY row_number() OVER (PARTITION BY tid ORDER BY p DESC, s1) = 1), {PREFIX.replace("0.5", "0.3")} SELECT s1, string_agg(tid, ',' ORDER BY p DESC, tid) AS tids FROM kept GROUP BY s1""",
     "truth_links": f"WITH {PRED} SELECT tid, s1 FROM links WHERE s1 IN (SELECT s1 FROM reference)",
-}
+} | pair_queries.ORACLE_SQL

@@ -70,6 +70,16 @@ def work_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """A new folder below the work folder, deleted at the end."""
+    path = work_dir(spark)
+    try:
+        yield path
+    finally:
+        delete(spark, path)
+
+
 def _folder(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

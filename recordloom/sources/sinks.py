@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +53,18 @@ def write_json(spark: SparkSession, value: dict, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_zip(spark: SparkSession, tables: dict[str, str], path: str) -> None:
+    """One archive of delimited tables: name in the archive -> folder of part files, each with a header. Part files come one at a time, in their order."""
+    with tempfile.TemporaryDirectory() as local:
+        packed = Path(local) / "tables.zip"
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, folder in tables.items():
+                parts = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).orderBy("path").select("content")
+                with z.open(name, "w", force_zip64=True) as f:
+                    for i, r in enumerate(parts.toLocalIterator()):
+                        body = bytes(r.content)
+                        f.write(body if not i else body.partition(b"\n")[2])
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{packed}"), target)

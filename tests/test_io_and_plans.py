@@ -1,9 +1,11 @@
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 from test_operators import records
 
 from recordloom.operators import assignment, metrics
-from recordloom.plans import models
+from recordloom.plans import models, run
 from recordloom.plans.resolver import Resolver
 from recordloom.sources import sinks, tables, validate
 from recordloom.streaming.scoring import link_stream
@@ -54,6 +56,7 @@ def test_stage_runs_once(spark, tmp_path):
         ("S1-1\tS2-7\nS1-2\t\n", "unknown id"),
         ("S1-1\tS2-1\nS1-2\t\nS1-9\t\n", "extra record"),
         ("S1-1\tS2-1\nS1-2\t\nnonsense\n", "malformed row"),
+        ("S1-1\tS2-1\nsource1_entity_id\tmatched_entity_ids\nS1-2\t\n", "wrong prefix extra record"),
     ],
 )
 def test_validator(spark, tmp_path, body, rule):
@@ -62,7 +65,8 @@ def test_validator(spark, tmp_path, body, rule):
     need = spark.createDataFrame([("S1-1",), ("S1-2",)], "entity_id string")
     known = spark.createDataFrame([("S2-1",), ("S3-1",)], "entity_id string")
     found = [r.rule for r in validate.validate(spark, str(p), None, need, known).collect()]
-    assert found == ([f"matched_entity_ids: {rule}"] if rule else [])
+    want = ["wrong prefix", "extra record"] if rule == "wrong prefix extra record" else [rule] if rule else []
+    assert found == [f"matched_entity_ids: {r}" for r in want]
 
 
 def test_validator_header_and_candidates(spark, tmp_path):
@@ -91,6 +95,57 @@ def test_end_to_end(spark, tmp_path):
     assert true > g.agg(F.avg("ce")).first()[0]
 
 
+def test_run_over_files(spark, tmp_path):
+    """Files in, files out; fitted once, saved, and loaded by the second run, which makes nothing again."""
+    ref, tgt, links = records(spark, 60)
+    layout = tables.Layout(*(f"file://{tmp_path}/{x}" for x in ("data", "work", "out")))
+    for split in ("train", "test"):
+        sinks.write_tsv(ref, layout.source(split, 1))
+        sinks.write_tsv(tgt.where("entity_id like 'S2-%'"), layout.source(split, 2))
+        sinks.write_tsv(tgt.where("entity_id not like 'S2-%'"), layout.source(split, 3))
+    lists = links.groupBy("s1").agg(F.collect_list("tid").alias("tids"))
+    sinks.write_tsv(sinks.id_lists(ref, lists, "matched_entity_ids"), layout.truth("train"))
+    findings = run.run(spark, layout, scorer=models.gram_cosine, rounds=5)
+    assert [r.rule for r in findings.collect() if r.severity == "error"] == []
+    got = tables.read_tsv(spark, f"{layout.output}/matching.tsv")
+    assert got.count() == ref.count()
+    assert metrics.evaluate(lists, tables.truth_lists(got)).first().macro_f05 > 0.8
+    with zipfile.ZipFile(f"{tmp_path}/out/results.zip") as z:
+        assert sorted(z.namelist()) == ["candidates.tsv", "matching.tsv"]
+        lines = z.read("matching.tsv").decode().splitlines()
+        assert lines[0] == "source1_entity_id\tmatched_entity_ids" and sorted(lines[1:]) == sorted("\t".join(r) for r in got.collect())
+    made = {p: p.stat().st_mtime_ns for p in (tmp_path / "work").rglob("*") if p.is_file()}
+    assert run.run(spark, layout, scorer=models.gram_cosine, rounds=5).collect() == findings.collect()
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "work").rglob("*") if p.is_file()} == made
+    with pytest.raises(ValueError, match="scorer"):
+        Resolver.load(spark, layout.work_file("train", "resolver"))
+    a, b = run.normalized(spark, layout, "test")
+    assert (a.count(), b.count()) == (ref.count(), tgt.count())
+
+
+def test_rescue_stage(spark, tmp_path):
+    """Targets whose names share no key with their record are found by vectors."""
+    ref, tgt, links = records(spark, 60)
+    number = F.split("entity_id", "-")[1].cast("int")
+    owner = links.select(F.col("tid").alias("entity_id"), F.split("s1", "-")[1].cast("int").alias("n"))
+    angle = lambda n: F.array(*[f(n * 0.1) for f in (F.cos, F.sin)])
+    of_ref = ref.select("entity_id", "country", angle(number).alias("embedding"))
+    of_tgt = tgt.join(owner, "entity_id", "left").select("entity_id", "country", angle(F.coalesce("n", F.lit(1000))).alias("embedding"))
+    lost = number % 3 == 0
+    blurred = tgt.withColumns({"business_name": F.when(lost, F.concat(F.lit("red qx"), F.md5("entity_id"), F.lit(" foods"))).otherwise(F.col("business_name")), "business_address": F.when(lost, "").otherwise(F.col("business_address"))})
+    r = Resolver(rounds=5, scorer=models.gram_cosine).fit(ref, blurred, links, (of_tgt, of_ref))
+    assert r.rescuer is not None
+    r.save(spark, f"file://{tmp_path}/resolver")
+    back = Resolver.load(spark, f"file://{tmp_path}/resolver", models.gram_cosine)
+    assert (back.prefilter, back.decision, back.rounds) == (r.prefilter, r.decision, r.rounds)
+    keys = lambda d: {(x.tid, x.s1): round(x.p, 9) for x in d.collect()}
+    with_vectors = keys(back.predict(ref, blurred, (of_tgt, of_ref)))
+    assert with_vectors == keys(r.predict(ref, blurred, (of_tgt, of_ref)))
+    plain = keys(back.predict(ref, blurred))
+    true = {(x.tid, x.s1) for x in links.collect()}
+    assert set(plain) < set(with_vectors) and len(true & set(with_vectors)) > len(true & set(plain))
+
+
 def test_scorer_interface(spark):
     def scorer(frames):
         for f in frames:
