@@ -22,6 +22,8 @@ MOST_EPOCHS = 3
 SHARD_SLOTS = 1 << 14
 #: Rounds of a permutation; indices of a source at most.
 ROUNDS, MOST_BLOCKS = 32, 1 << 40
+#: Slots that one task makes, about: they come of a few narrow rows, whose bytes don't tell.
+TASK_SLOTS = 1 << 15
 #: Slots, or shards, that are handled as one row or window.
 CHUNK = 4096
 
@@ -73,13 +75,20 @@ def permuted(i: Column, n: Column, keys: Column, epoch: Column) -> Column:
     return F.aggregate(keys, i.cast("long"), swap_or_not)
 
 
+def tasks(sources: DataFrame) -> int:
+    """Tasks for the slots of ``sources``, a small written table."""
+    slots = sources.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
+    return int(min(1 << 16, max(8, -(-slots // TASK_SLOTS))))
+
+
 def draw_counts(sources: DataFrame, seed: int = 42, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """``source, n_blocks, shard, count, first``: the slots of each source that each shard has, drawn, and the slots of shards before it.
 
     Each of a source's slots falls on a shard by a uniform draw, so its counts are multinomial. ``sources`` has the rows of with_targets().
     """
+    n = tasks(sources)
     d = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("n_slots").over(Window.partitionBy()) / shard_slots)).cast("long")).where("n_slots > 0")
-    d = d.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK).cast("long")))).repartition("source", "chunk")
+    d = d.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK).cast("long")))).repartition(n, "source", "chunk")
     d = d.withColumn("ball", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("chunk") * CHUNK + CHUNK, F.col("n_slots")) - 1)))
     counts = d.select("source", "n_blocks", F.pmod(F.xxhash64("source", "ball", F.lit(seed)), F.col("shards")).alias("shard"))
     counts = counts.groupBy("source", "n_blocks", "shard").agg(F.count(F.lit(1)).alias("count")).withColumn("part", F.floor(F.col("shard") / CHUNK))
@@ -92,7 +101,7 @@ def draw_counts(sources: DataFrame, seed: int = 42, shard_slots: int = SHARD_SLO
 
 def draw_slots(sources: DataFrame, seed: int = 42, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """``shard, source, slot, epoch, block``: all slots of the mix, as draw_counts() lays them out."""
-    d = draw_counts(sources, seed, shard_slots).repartition("source", "shard").withColumn("__keys", round_keys(F.col("n_blocks"), F.col("source"), seed))
+    d = draw_counts(sources, seed, shard_slots).repartition(tasks(sources), "source", "shard").withColumn("__keys", round_keys(F.col("n_blocks"), F.col("source"), seed))
     d = d.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
     d = d.withColumn("epoch", F.floor(F.col("slot") / F.col("n_blocks")).cast("long"))
     index = F.col("slot") - F.col("epoch") * F.col("n_blocks")
