@@ -177,7 +177,7 @@ def q_rank_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefilter's logit over channel scores made of order lines, eight best for each order."""
     p = predictions(spark, sf_dir)
     d = p.select("tid", "s1", "country", *[(F.pmod(F.floor(F.col("p") * 9975 * (i + 3)), F.lit(101)) / 100.0).alias(f) for i, f in enumerate(blocking.PREFILTER_FEATURES)])
-    return blocking.rank_candidates(d, PREFILTER).select("tid", "s1", r9("pf_score").alias("pf_score"), "pf_rank")
+    return blocking.rank_candidates(d, PREFILTER, digits=None).select("tid", "s1", r9("pf_score").alias("pf_score"), "pf_rank")
 
 
 def q_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
