@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom import oracle_text, pair_queries
 from recordloom.functions import text
-from recordloom.functions.similarity import similarity
-from recordloom.operators import assignment, blocking, diagnostics, group_features, metrics, pair_features, rescue, splits, vectors
+from recordloom.operators import assignment, blocking, diagnostics, group_features, metrics, name_pairs, pair_features, rescue, splits, vectors
 from recordloom.sources import sinks, tables
 
 PREFILTER = pair_queries.PREFILTER
@@ -158,8 +157,9 @@ def q_block_name_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer and supplier names of the same nation."""
-    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    return c.join(s, c["c_nationkey"] == s["s_nationkey"]).select("c_custkey", "s_suppkey", F.round(similarity("jaro_winkler", F.col("c_name"), F.col("s_name")), 6).alias("jw"))
+    side = lambda t, p, key: table(spark, sf_dir, t).select(F.col(f"{p}_nationkey").alias("group"), F.col(key).alias("key"), F.col(f"{p}_name").alias("name"))
+    d = name_pairs.jaro_winkler_pairs(side("customer", "c", "c_custkey"), side("supplier", "s", "s_suppkey"), 6)
+    return d.select(F.col("a").alias("c_custkey"), F.col("b").alias("s_suppkey"), "jw")
 
 
 def q_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
