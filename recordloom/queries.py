@@ -147,10 +147,7 @@ def q_block_name_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     d = documents_as_records(spark, sf_dir)
-    keys = d.select("entity_id", "country", F.lit("name_key").alias("channel"), F.explode(blocking.name_keys(F.col("name"))).alias("key")).groupBy("entity_id", "country", "channel", "key").agg(F.count(F.lit(1)).alias("tf"))
-    w = blocking.unit_weights(keys, blocking.key_weights(keys))
-    a, b = (w.select(F.col("entity_id").alias(n), "country", "key", F.col("w").alias(f"w_{n}")) for n in ("tid", "s1"))
-    cos = a.join(b, ["country", "key"]).groupBy("tid", "s1", "country").agg(F.sum(F.col("w_tid") * F.col("w_s1")).alias("cos")).where(F.col("cos") > blocking.MIN_COSINE)
+    cos = blocking.best_within(d.select("entity_id", "country", blocking.name_keys(F.col("name")).alias("keys")))
     order = Window.partitionBy("tid").orderBy(F.desc(F.round("cos", 8)), "s1")
     return cos.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= blocking.TOP_K).select("tid", "s1", "country", F.round("cos", 6).alias("cos"), "rank")
 
